@@ -39,8 +39,14 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.substring_dedup import substring_dedup
+
+    return substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_quality_rules": op4_quality_rules, "op5_chat_format": op5_chat_format}
+    return {"op1_substring_dedup": op1_substring_dedup, "op4_quality_rules": op4_quality_rules, "op5_chat_format": op5_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
