@@ -45,8 +45,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.packing import best_fit_packing
+
+    return best_fit_packing(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op4_quality_rules": op4_quality_rules, "op5_chat_format": op5_chat_format}
+    return {"op1_substring_dedup": op1_substring_dedup, "op3_best_fit_packing": op3_best_fit_packing, "op4_quality_rules": op4_quality_rules, "op5_chat_format": op5_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
