@@ -51,8 +51,14 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(_table(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.near_dedup import near_dedup
+
+    return near_dedup(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op3_best_fit_packing": op3_best_fit_packing, "op4_quality_rules": op4_quality_rules, "op5_chat_format": op5_chat_format}
+    return {"op1_substring_dedup": op1_substring_dedup, "op3_best_fit_packing": op3_best_fit_packing, "op4_quality_rules": op4_quality_rules, "op5_chat_format": op5_chat_format, "op6_near_dedup": op6_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
