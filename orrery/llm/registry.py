@@ -57,8 +57,18 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.mixing import mix_sources
+
+    lines, mix = mix_sources(_table(spark, sf_dir, "documents"))
+    taken = mix.groupBy("source_no", "start").agg(F.sum("words").alias("taken"))
+    lines = lines.withColumn("_at", F.when(F.col("size") > 0, F.col("start")))  # only rows with words have a place of their own
+    lines = lines.join(taken.withColumnRenamed("start", "_at"), ["source_no", "_at"], "left")
+    return lines.select(F.col("key").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op3_best_fit_packing": op3_best_fit_packing, "op4_quality_rules": op4_quality_rules, "op5_chat_format": op5_chat_format, "op6_near_dedup": op6_near_dedup}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_mix_sources": op2_mix_sources, "op3_best_fit_packing": op3_best_fit_packing, "op4_quality_rules": op4_quality_rules, "op5_chat_format": op5_chat_format, "op6_near_dedup": op6_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
