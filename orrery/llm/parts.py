@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PART_BYTES = 8 << 20
@@ -69,12 +69,19 @@ def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(bucket[places[0]]), places
 
 
-def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Computes the frame once, into the cluster's shared folder (``spark.checkpoint.dir``), so later reads survive lost
-    executors. Only where no folder is set, as in tests on one machine, one of this process is used."""
-    spark = frame.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and not spark.sparkContext.getCheckpointDir():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``). Only where none is set, as in tests on one
+    machine, one of this process is used."""
+    folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not folder:
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder
+
+
+def cut_lineage(frame: DataFrame) -> DataFrame:
+    """Computes the frame once, into the shared folder, so later reads survive lost executors."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()
