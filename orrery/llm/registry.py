@@ -76,8 +76,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's host is its source; the language stands for the path below it."""
+    from orrery.llm.quality_classifier import quality_classifier
+
+    judged = quality_classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+    return judged.select("doc_id", "quality", "toxicity", "quality_posterior", "toxicity_posterior", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op2_mix_sources": op2_mix_sources, "op3_best_fit_packing": op3_best_fit_packing, "op4_quality_rules": op4_quality_rules, "op5_chat_format": op5_chat_format, "op6_near_dedup": op6_near_dedup, "op10_language_id": op10_language_id}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_mix_sources": op2_mix_sources, "op3_best_fit_packing": op3_best_fit_packing, "op4_quality_rules": op4_quality_rules, "op5_chat_format": op5_chat_format, "op6_near_dedup": op6_near_dedup, "op7_quality_classifier": op7_quality_classifier, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
