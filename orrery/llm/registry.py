@@ -84,8 +84,16 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "quality", "toxicity", "quality_posterior", "toxicity_posterior", "kept")
 
 
+def op9_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the whole texts of all documents whose id is divisible by 50."""
+    from orrery.llm.search import top_k
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return top_k(docs, docs.where(F.col("doc_id") % 50 == 0)).withColumnRenamed("query", "query_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op2_mix_sources": op2_mix_sources, "op3_best_fit_packing": op3_best_fit_packing, "op4_quality_rules": op4_quality_rules, "op5_chat_format": op5_chat_format, "op6_near_dedup": op6_near_dedup, "op7_quality_classifier": op7_quality_classifier, "op10_language_id": op10_language_id}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_mix_sources": op2_mix_sources, "op3_best_fit_packing": op3_best_fit_packing, "op4_quality_rules": op4_quality_rules, "op5_chat_format": op5_chat_format, "op6_near_dedup": op6_near_dedup, "op7_quality_classifier": op7_quality_classifier, "op9_bm25_top_k": op9_bm25_top_k, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
