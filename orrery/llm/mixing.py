@@ -109,7 +109,7 @@ def _draws(spark: SparkSession, plan: list[dict], seed: int, slots: int, block:
                         out[mine] = permuted(at[mine], blocks[s], name)
                     yield pd.DataFrame({"shard": shard, "slot": j - start, "source_no": s, "pass": of_pass, "block": out})
 
-    return counts.select("shard", "source_no", "n", "start").mapInPandas(placed, "shard long, slot long, source_no long, pass long, block long")
+    return counts.select("shard", "source_no", "n", "start").repartition("source_no", "shard").mapInPandas(placed, "shard long, slot long, source_no long, pass long, block long")
 
 
 def mix_sources(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -134,7 +134,7 @@ def mix_sources(documents: DataFrame, key: str = "doc_id", text: str = "text", s
     first = F.greatest(F.col("start"), F.col("block") * block)
     last = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
     cut = whole.withColumns({"word_start": first - F.col("start"), "words": last - first})
-    return lines, draws.join(cut, ["source_no", "block"])
+    return lines, draws.hint("merge").join(cut, ["source_no", "block"])
 
 
 def render(documents: DataFrame, mix: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
