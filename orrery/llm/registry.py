@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import oracles
+from orrery.session import shipped
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,9 +93,22 @@ def op9_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(docs, docs.where(F.col("doc_id") % 50 == 0)).withColumnRenamed("query", "query_id")
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.lm_scoring import lm_scores
+
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
+    return lm_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"), held_out)
+
+
+QUERIES = (
+    op1_substring_dedup, op2_mix_sources, op3_best_fit_packing, op4_quality_rules, op5_chat_format, op6_near_dedup,
+    op7_quality_classifier, op8_lm_scores, op9_bm25_top_k, op10_language_id,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op2_mix_sources": op2_mix_sources, "op3_best_fit_packing": op3_best_fit_packing, "op4_quality_rules": op4_quality_rules, "op5_chat_format": op5_chat_format, "op6_near_dedup": op6_near_dedup, "op7_quality_classifier": op7_quality_classifier, "op9_bm25_top_k": op9_bm25_top_k, "op10_language_id": op10_language_id}
+    return {f.__name__: shipped(f) for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.SQL
+    return dict(oracles.SQL)
