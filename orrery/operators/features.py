@@ -22,9 +22,10 @@ def assembled_text(rows: DataFrame, key: str, order: list[Column], written: Colu
 
 def tower_features(grid: DataFrame, limits: dict[str, int], stale_days: int = 730, crowd: int = 40) -> DataFrame:
     """grid (key, source, tower_text, item_count, age_days, reliability_score) with nulls where a source is missing."""
-    limit = F.create_map(*(x for k, v in limits.items() for x in (F.lit(k), F.lit(v))))
+    known = F.when(F.col("source").isin(*limits), F.col("source")).otherwise(F.raise_error(F.lit("unknown source")).cast("string"))
+    grid = grid.withColumn("source", known)
     text = T.normalize(F.col("tower_text"))
-    cut = F.coalesce(*(F.when(F.col("source") == k, T.truncate(text, v)) for k, v in limits.items()), F.when(limit[F.col("source")].isNull(), F.raise_error(F.lit("unknown source"))))
+    cut = F.coalesce(*(F.when(F.col("source") == k, T.truncate(text, v)) for k, v in limits.items()))
     there = F.coalesce(F.col("item_count") > 0, F.lit(False)) & (text != "")
     out = grid.withColumn("is_available", there).withColumn("tower_text", F.when(there, cut).otherwise(""))
     out = out.withColumn("item_count", F.coalesce("item_count", F.lit(0)))
