@@ -8,8 +8,9 @@ bucket with probability 3e-5.
 
 Documents with the same words are one node. In each bucket all nodes are compared with the least one (no pairs inside the
 bucket); links of ``THRESHOLD`` or more plain Jaccard of distinct shingles, counted exactly, are joined to components.
-What is then still in different components of one bucket is compared pair by pair, so no link in a bucket is lost
-and a group of thousands of near copies costs one comparison a member.
+Nodes that are then still in different components of one bucket are paired by their rarest shingles (an exact prefix
+filter) and compared too, so no link in a bucket is lost, a group of thousands of near copies costs one comparison a
+member, and documents that only share a passage are not paired.
 
 A document of one to four words has one shingle, all of it; without words (null, empty) it has none and stands alone. An
 id names one document: rows that share an id share a class. A null id takes the class of a row with the same words,
@@ -18,6 +19,7 @@ else null, and is kept. Other columns don't matter.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 from orrery.llm import tokens
 from orrery.llm.parts import cut_lineage
 
-SHINGLE, THRESHOLD, ROWS, BANDS = 5, 0.8, 5, 26
+SHINGLE, THRESHOLD, ROWS, BANDS, RARITY_SLOTS = 5, 0.8, 5, 26, 1 << 18
+#: Words of 64 marks that a set carries into the join of rare shingles: a shingle flips one mark.
+MARKS = 8
 U8 = np.uint64
 
 
@@ -131,6 +135,61 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
     return both.select("a", "b", "_a", "_b").mapInArrow(compare, f"a {kind}, b {kind}")
 
 
+def _rarity(sets: DataFrame, slots: int = RARITY_SLOTS, slices: int = 16) -> np.ndarray:
+    """Documents by hashed shingle: a table of fixed size, whatever the input."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(slots, np.int64)
+        for batch in batches:
+            for x in batch["shingles"]:
+                np.add.at(table, (np.frombuffer(x.as_buffer(), U8) % U8(slots)).astype(np.int64), 1)
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(np.arange(slices, dtype=np.int32)), "counts": pa.array([c.tobytes() for c in np.split(table, slices)])})
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c.as_py(), np.int64) for c in table["counts"])
+        return pa.table({"slice": table["slice"][:1], "counts": pa.array([total.tobytes()])})
+
+    rows = sets.select("shingles").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()
+    found = {r["slice"]: np.frombuffer(r["counts"], np.int64) for r in rows}
+    return np.concatenate([found.get(i, np.zeros(slots // slices, np.int64)) for i in range(slices)]).clip(max=2**31 - 1).astype(np.int32)
+
+
+def prefix_pairs(placed: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs (a < b) of different components among the nodes of ``placed`` (node, component) that can be similar. In one
+    order of all shingles, rarest first, two sets with a Jaccard of t share one of their first n - ceil(t n) + 1; so only
+    nodes that meet in such a prefix are paired, if their marks leave room for t, and none with a link is lost. The order is by counts in a hashed table
+    of fixed size, then hash; collisions only make it less sharp."""
+    rarity = _rarity(sets)
+    kind = placed.schema["node"].dataType.simpleString()
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found, sizes = [], [], []
+            marks = np.zeros((batch.num_rows, 64 * MARKS), np.uint8)
+            for i, x in enumerate(batch["shingles"]):
+                own = np.frombuffer(x.as_buffer(), U8)
+                first = own[np.lexsort((own, rarity[(own % U8(len(rarity))).astype(np.int64)]))][: len(own) - math.ceil(threshold * len(own) - 1e-9) + 1]
+                marks[i] = np.bincount((own >> U8(40)).astype(np.int64) % (64 * MARKS), minlength=64 * MARKS) & 1
+                at.append(np.full(len(first), i))
+                found.append(first)
+                sizes.append(np.full(len(first), len(own), np.int32))
+            at = np.concatenate([*at, np.empty(0, np.int64)]).astype(np.int64)
+            marks = np.packbits(marks, axis=1).view(np.int64)[at]
+            out = [batch["node"].take(pa.array(at)), pa.array(np.concatenate([*sizes, np.empty(0, np.int32)])), _signed(np.concatenate([*found, np.empty(0, U8)]))]
+            yield pa.RecordBatch.from_arrays([*out, *(pa.array(np.ascontiguousarray(marks[:, k])) for k in range(MARKS))], names=["node", "n", "shingle", *(f"m{k}" for k in range(MARKS))])
+
+    held = sets.mapInArrow(prefixes, f"node {kind}, n int, shingle long, " + ", ".join(f"m{k} long" for k in range(MARKS))).join(placed, "node")
+    shared = held.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
+    held = held.join(shared, "shingle", "left_semi")
+    a, b = (held.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in held.columns if c != "shingle")) for s in "ab")
+    total, differ = F.col("n_a") + F.col("n_b"), sum((F.bit_count(F.col(f"m{k}_a").bitwiseXOR(F.col(f"m{k}_b"))) for k in range(MARKS)), F.lit(0))
+    # shingles that only one of the two has: at least as many as marks differ, at most as many as the threshold leaves room for
+    room = differ <= total - 2 * F.ceil(F.lit(threshold / (1 + threshold)) * total - 1e-9)
+    near = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
+    pairs = a.join(b, (a["shingle"] == b["shingle"]) & (F.col("component_a") < F.col("component_b")) & near & room)
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node) for every node of an edge (a, b): large-star and small-star steps until nothing
     changes. Minima are aggregated and joined back, so a node of many edges is never gathered in one place."""
@@ -160,20 +219,18 @@ def near_dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", th
     nodes = cut_lineage(some.groupBy("k1", "k2").agg(F.min(F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("node"), "n", "bands"))).alias("first")).where("first is not null").select("k1", "k2", "first.*"))
     member = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     hubs = member.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("held")).where("held > 1")
-    near = lambda n, m: F.least(n, m) >= threshold * F.greatest(n, m)  # noqa: E731  else the Jaccard is less in any case
-    stars = member.join(hubs, "bucket").where(F.col("node") != F.col("hub.node")).where(near(F.col("n"), F.col("hub.n")))
-    stars = cut_lineage(stars.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct())
-    sets = lambda pairs: shingle_sets(documents.join(pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct(), key, "left_semi"), key, text, size).dropDuplicates(["node"])
-    links = cut_lineage(verified(stars, sets(stars), threshold))
+    shared = cut_lineage(member.join(hubs, "bucket").select("bucket", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")))
+    near = F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n")  # else the Jaccard is less in any case
+    stars = cut_lineage(shared.where(F.col("node") != F.col("hub")).where(near).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    wanted = documents.join(shared.select(F.col("node").alias(key)).distinct(), key, "left_semi").dropDuplicates([key])
+    sets = cut_lineage(shingle_sets(wanted, key, text, size))
+    links = cut_lineage(verified(stars, sets, threshold))
     merged = components(links)
-    placed = member.join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = shared.select("bucket", "node").join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    rest = cut_lineage(placed.join(mixed, "bucket"))
-    a, b = (rest.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component"))) for s in "ab")
-    pairs = a.join(b, "bucket").where("component_a < component_b").where(near(F.col("n_a"), F.col("n_b")))
-    pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    pairs = cut_lineage(pairs)
-    more = cut_lineage(verified(pairs, sets(pairs), threshold))
+    rest = cut_lineage(placed.join(mixed, "bucket").select("node", "component").distinct())
+    pairs = cut_lineage(prefix_pairs(rest, sets.join(rest.select("node"), "node", "left_semi"), threshold).join(stars, ["a", "b"], "left_anti"))
+    more = cut_lineage(verified(pairs, sets, threshold))
     if not more.isEmpty():
         merged = components(links.unionByName(more))
     classes = nodes.select("k1", "k2", "node").join(merged, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("class_id"))
