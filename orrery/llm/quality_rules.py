@@ -101,5 +101,12 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
 def quality_rules(documents: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The operator: the documents' columns, the counts, base_failed and kept."""
     failed = (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("n_words"))
-    judged = measured(documents, text).withColumn("base_failed", failed)
-    return judged.withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    # the verdict looks at a row number, which keeps the optimizer from moving a later filter on it below the projections,
+    # where it would repeat their expressions many times over
+    judged = measured(documents, text).withColumn("_row", F.monotonically_increasing_id()).withColumn("base_failed", failed)
+    return judged.withColumn("kept", ~F.col("base_failed") & verdict(rules) & (F.col("_row") >= 0)).drop("_row")
+
+
+def passing(documents: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The documents that are kept, with their own columns."""
+    return quality_rules(documents, text, rules).where("kept").select(*documents.columns)
