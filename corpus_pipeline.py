@@ -12,37 +12,43 @@ from orrery.llm.mixing import mix_sources, render
 from orrery.llm.near_dedup import near_dedup
 from orrery.llm.packing import best_fit_packing
 from orrery.llm.parts import shared_folder
-from orrery.llm.quality_rules import quality_rules
+from orrery.llm.quality_rules import passing
 from orrery.llm.substring_dedup import substring_dedup
+from orrery.session import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and every threshold."""
-    return quality_rules(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
+    ship(spark)
+    return passing(docs.select(*COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each class of near copies."""
+    ship(spark)
     kept = near_dedup(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that stand earlier in the corpus; those with nothing left go."""
+    ship(spark)
     cut = substring_dedup(docs, carry=("lang", "source"), with_text=True).where("n_words > n_removed")
     return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes of each document, one row a pass."""
+    ship(spark)
     mixed = render(docs.select(*COLUMNS), mix_sources(docs)[1])
     return mixed.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces placed in sequences of at most 1024."""
+    ship(spark)
     return best_fit_packing(docs)
 
 

@@ -83,5 +83,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut_lineage(frame: DataFrame) -> DataFrame:
     """Computes the frame once, into the shared folder, so later reads survive lost executors."""
-    shared_folder(frame.sparkSession)
+    folder, context = shared_folder(frame.sparkSession), frame.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
     return frame.checkpoint()
