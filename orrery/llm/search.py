@@ -26,7 +26,9 @@ from orrery.llm import tokens
 from orrery.llm.parts import cut_lineage, NO_ID, gather, ids_of, pack, unpack
 
 K1, B, TOP, DIGITS = 1.2, 0.75, 10, 9
-SHARD_BYTES, BLOCK_DOCS, QUERY_WORDS, ROW_QUERIES, DENSE_TERMS = 6 << 20, 64, 1 << 20, 512, 96
+SHARD_BYTES, BLOCK_DOCS, QUERY_WORDS, ROW_QUERIES, DENSE_TERMS = 6 << 20, 64, 1 << 20, 512, 512
+#: The share of (query, block) cells that bounds must rule out to be used on every shard.
+USEFUL = 0.3
 U8, LAST = np.uint64, np.iinfo(np.int64).max
 
 
@@ -132,7 +134,7 @@ def product(left: Postings, right: Postings, rows: int, columns: int) -> np.ndar
     heavy = np.zeros(len(work), bool)
     if len(work) > DENSE_TERMS:
         heavy[np.argpartition(work, -DENSE_TERMS)[-DENSE_TERMS:]] = True
-    heavy &= work > rows * columns // 50
+    heavy &= work > rows * columns // 100  # about where a dense column costs less than its single products
     out = np.zeros((rows, columns))
     if heavy.any():
         some = np.flatnonzero(heavy)
@@ -165,6 +167,7 @@ def _search(index: DataFrame, queries: np.ndarray, wanted: np.ndarray, first: np
         n = len(queries)
         best = np.full((n, top), -np.inf)
         keys = np.zeros((n, top), np.int64)
+        turn, asked, pruned = 0, 1.0, 1.0
         for batch in batches:
             for x in batch["shard"]:
                 ids, lengths, terms, start, doc, count = _open(x)
@@ -178,12 +181,15 @@ def _search(index: DataFrame, queries: np.ndarray, wanted: np.ndarray, first: np
                 edge = np.flatnonzero(np.diff(place, prepend=-1))
                 bound = Postings(np.searchsorted(term[edge], np.arange(len(at) + 1)), (shard.row // BLOCK_DOCS)[edge], np.maximum.reduceat(shard.value, edge) if len(edge) else np.empty(0))
                 order = np.where(ids == NO_ID, LAST, ids)
+                # bounds that rule out little cost more than they save: then they are tried on every eighth shard only
+                bounded, turn = pruned >= USEFUL * asked or turn % 8 == 0, turn + 1
                 for g, group in groups:
                     mine_q, size = group.of(mine), min(ROW_QUERIES, n - g)
                     least = best[g : g + size, -1]
                     open_ = np.ones((size, blocks), bool)
-                    if np.isfinite(least).any():
+                    if bounded and np.isfinite(least).any():
                         open_ = product(mine_q, bound, size, blocks) >= least[:, None] - 10.0 ** (1 - DIGITS)
+                        asked, pruned = 0.9 * asked + open_.size, 0.9 * pruned + open_.size - open_.any(axis=1).sum() * open_.any(axis=0).sum()
                     ask, look = open_.any(axis=1), np.repeat(open_.any(axis=0), BLOCK_DOCS)[: len(ids)]
                     if not ask.any():
                         continue
