@@ -171,7 +171,7 @@ def self_reports(people: DataFrame, skills: DataFrame, catalog: DataFrame, confi
     numbered = catalog.withColumn("_no", F.row_number().over(W.orderBy(F.xxhash64(F.lit(seed), "skill_id"), "skill_id")) - 1)
     of = numbered.agg(F.max("_no").alias("_last"))
     stride = asked.crossJoin(F.broadcast(of)).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_noise") + config.max_true_skills))).withColumn("_no", F.pmod(F.floor(u("start") * (F.col("_last") + 1)) + F.col("_i"), F.col("_last") + 1).cast("int"))
-    false = stride.dropDuplicates(["candidate_id", "_no"]).join(F.broadcast(numbered), "_no").join(skills.select("candidate_id", "skill_id"), ["candidate_id", "skill_id"], "left_anti")
+    false = stride.dropDuplicates(["candidate_id", "_no"]).join(numbered, "_no").join(skills.select("candidate_id", "skill_id"), ["candidate_id", "skill_id"], "left_anti")
     false = false.withColumn("_r", F.row_number().over(W.partitionBy("candidate_id").orderBy("_i"))).where("_r <= _noise").withColumn("oracle_is_true_skill", F.lit(False))
     cols = ["candidate_id", "skill_id", "skill_name", "oracle_is_true_skill"]
     claims = true.select(*cols).unionByName(false.select(*cols))
