@@ -94,6 +94,8 @@ def _meet(terms: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Places in both sorted arrays of what they share."""
     if not len(terms) or not len(wanted):
         return np.empty(0, np.int64), np.empty(0, np.int64)
+    if len(terms) < len(wanted):
+        return _meet(wanted, terms)[::-1]
     at = np.searchsorted(terms, wanted)
     at[at == len(terms)] = 0
     mine = np.flatnonzero(terms[at] == wanted)
@@ -122,11 +124,21 @@ class Postings:
 
     def only(self, rows: np.ndarray) -> Postings:
         """Those of marked rows, which are renumbered."""
+        if rows.all():
+            return self
         keep = rows[self.row]
         upto = np.concatenate([[0], np.cumsum(keep)])
         return Postings(upto[self.first], (np.cumsum(rows) - 1)[self.row[keep]], self.value[keep])
 
 
+def block_maxima(shard: Postings, blocks: int, docs: int) -> Postings:
+    """The largest value of each term in each block of documents."""
+    term = np.repeat(np.arange(len(shard.first) - 1), np.diff(shard.first))
+    block = shard.row // docs
+    edge = np.flatnonzero(np.diff(term * blocks + block, prepend=-1))
+    return Postings(np.searchsorted(term[edge], np.arange(len(shard.first))), block[edge], np.maximum.reduceat(shard.value, edge) if len(edge) else np.empty(0))
+
+
 def product(left: Postings, right: Postings, rows: int, columns: int) -> np.ndarray:
     """Sum over terms of left x right; terms that most pairs share go through a dense product."""
     a, b = np.diff(left.first), np.diff(right.first)
@@ -134,7 +146,7 @@ def product(left: Postings, right: Postings, rows: int, columns: int) -> np.ndar
     heavy = np.zeros(len(work), bool)
     if len(work) > DENSE_TERMS:
         heavy[np.argpartition(work, -DENSE_TERMS)[-DENSE_TERMS:]] = True
-    heavy &= work > rows * columns // 100  # about where a dense column costs less than its single products
+    heavy &= work > rows * columns // 200  # about where a dense column costs less than its single products
     out = np.zeros((rows, columns))
     if heavy.any():
         some = np.flatnonzero(heavy)
@@ -144,7 +156,7 @@ def product(left: Postings, right: Postings, rows: int, columns: int) -> np.ndar
         y[np.repeat(np.arange(len(some)), np.diff(r.first)), r.row] = r.value
         out += x @ y
     light = np.flatnonzero(~heavy & (work > 0))
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(work[light]) // 4_000_000)) + 1, [len(light)]])
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(work[light]) // 1_000_000)) + 1, [len(light)]])
     for s, e in zip(cuts[:-1], cuts[1:], strict=True):
         l, r = left.of(light[s:e]), right.of(light[s:e])
         times = np.repeat(np.diff(r.first), np.diff(l.first))  # each left posting meets all right ones of its term
@@ -174,15 +186,12 @@ def _search(index: DataFrame, queries: np.ndarray, wanted: np.ndarray, first: np
                 at, mine = _meet(terms, wanted)
                 norm = K1 * (1 - B + B * lengths / mean_length)
                 shard = Postings(start, doc.astype(np.int64), count * (K1 + 1) / (count + norm[doc])).of(at)
-                # block maxima, by term and block
-                term = np.repeat(np.arange(len(at)), np.diff(shard.first))
-                blocks = -(-len(ids) // BLOCK_DOCS)
-                place = term * blocks + shard.row // BLOCK_DOCS
-                edge = np.flatnonzero(np.diff(place, prepend=-1))
-                bound = Postings(np.searchsorted(term[edge], np.arange(len(at) + 1)), (shard.row // BLOCK_DOCS)[edge], np.maximum.reduceat(shard.value, edge) if len(edge) else np.empty(0))
                 order = np.where(ids == NO_ID, LAST, ids)
                 # bounds that rule out little cost more than they save: then they are tried on every eighth shard only
                 bounded, turn = pruned >= USEFUL * asked or turn % 8 == 0, turn + 1
+                blocks = -(-len(ids) // BLOCK_DOCS)
+                if bounded:
+                    bound = block_maxima(shard, blocks, BLOCK_DOCS)
                 for g, group in groups:
                     mine_q, size = group.of(mine), min(ROW_QUERIES, n - g)
                     least = best[g : g + size, -1]
@@ -193,15 +202,15 @@ def _search(index: DataFrame, queries: np.ndarray, wanted: np.ndarray, first: np
                     ask, look = open_.any(axis=1), np.repeat(open_.any(axis=0), BLOCK_DOCS)[: len(ids)]
                     if not ask.any():
                         continue
-                    score = np.round(product(mine_q.only(ask), shard.only(look), int(ask.sum()), int(look.sum())), DIGITS)
+                    score = product(mine_q.only(ask), shard.only(look), int(ask.sum()), int(look.sum()))
                     who, names = np.flatnonzero(ask) + g, order[look]
-                    if score.shape[1] > top:  # all that tie with the last place stay, so that keys decide
-                        floor = np.maximum(np.partition(score, -top, axis=1)[:, -top], best[who, -1])
-                    else:
-                        floor = np.full(len(who), -np.inf)
-                    q, d = np.nonzero((score >= floor[:, None]) & (score > 0))
+                    floor = best[who, -1]
+                    if score.shape[1] > top and not np.isfinite(floor).all():
+                        floor = np.maximum(floor, np.partition(score, -top, axis=1)[:, -top])
+                    # all that may tie with the last place stay, so that rounded scores and keys decide
+                    q, d = np.nonzero(score >= np.maximum(floor - 10.0 ** (1 - DIGITS), 1e-300)[:, None])
                     all_q = np.concatenate([q, np.repeat(np.arange(len(who)), top)])
-                    all_s = np.concatenate([score[q, d], best[who].ravel()])
+                    all_s = np.concatenate([np.round(score[q, d], DIGITS), best[who].ravel()])
                     all_k = np.concatenate([names[d], keys[who].ravel()])
                     by = np.lexsort((all_k, -all_s, all_q))
                     rank = np.arange(len(by)) - np.searchsorted(all_q[by], all_q[by])
