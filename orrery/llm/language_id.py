@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from orrery.llm import tokens
 
 WORD_BYTES, LONGEST, SMOOTH, UNKNOWN = 48, 12, 0.05, -18.0
+#: Sums are kept times exp(LIFT) a byte: between exp(-LIFT) and exp(LIFT) a byte, which a float holds over a whole stretch.
+LIFT = -UNKNOWN / 2
 MARK = "▁".encode()
 U8 = np.uint64
 _TABLE_BITS, _CACHE_BITS = 18, 19
@@ -49,6 +51,7 @@ class Vocabulary:
 
     def __init__(self, vocabulary: list[bytes]) -> None:
         self.size = len(vocabulary)
+        self.lift = np.exp(LIFT * np.array([len(p) for p in vocabulary], float))[:, None]
         self.keys = np.zeros(1 << _TABLE_BITS, U8)
         self.ids = np.full(1 << _TABLE_BITS, -1, np.int32)
         self.seen = np.zeros(1 << 21, bool)
@@ -133,8 +136,9 @@ def _matches(rows: np.ndarray, n: np.ndarray, vocabulary: Vocabulary) -> Iterato
 
 
 def forward(rows: np.ndarray, n: np.ndarray, vocabulary: Vocabulary, probability: np.ndarray) -> tuple[np.ndarray, list]:
-    """Forward sums, width + 1 x stretches x languages (scaled so that no byte underflows), and the matches found."""
+    """Forward sums, width + 1 x stretches x languages (times exp(LIFT) a byte, so that none underflows), and the matches found."""
     width, languages = rows.shape[1], probability.shape[1]
+    probability = probability * vocabulary.lift
     alpha = np.zeros((width + 1, len(n), languages))
     alpha[0] = 1
     matches = []
@@ -142,7 +146,7 @@ def forward(rows: np.ndarray, n: np.ndarray, vocabulary: Vocabulary, probability
     for m in _matches(rows, n, vocabulary):
         by_end.setdefault(m[0], []).append(m)
     for end in range(1, width + 1):
-        alpha[end] = alpha[end - 1] * np.exp(UNKNOWN)
+        alpha[end] = alpha[end - 1] * np.exp(UNKNOWN + LIFT)
         for m in by_end.get(end, ()):
             alpha[end][m[2]] += alpha[end - m[1]][m[2]] * probability[m[3]]
             matches.append(m)
@@ -152,14 +156,14 @@ def forward(rows: np.ndarray, n: np.ndarray, vocabulary: Vocabulary, probability
 def word_scores(rows: np.ndarray, n: np.ndarray, vocabulary: Vocabulary, probability: np.ndarray) -> np.ndarray:
     """Log probability of each stretch in each language."""
     alpha, _ = forward(rows, n, vocabulary, probability)
-    return np.log(alpha[n, np.arange(len(n))])
+    return np.log(alpha[n, np.arange(len(n))]) - LIFT * n[:, None]
 
 
 def expected_counts(rows: np.ndarray, n: np.ndarray, vocabulary: Vocabulary, probability: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Expected piece counts, vocabulary x languages, over all segmentations; weight (stretches x languages) says how
     often each occurs. probability has one column, for all languages."""
     alpha, matches = forward(rows, n, vocabulary, probability)
-    alpha, beta = alpha[:, :, 0], np.zeros(alpha.shape[:2])
+    alpha, beta, probability = alpha[:, :, 0], np.zeros(alpha.shape[:2]), probability * vocabulary.lift
     beta[n, np.arange(len(n))] = 1
     share = 1 / alpha[n, np.arange(len(n))]
     counts = np.zeros((vocabulary.size, weight.shape[1]))
@@ -175,7 +179,7 @@ def expected_counts(rows: np.ndarray, n: np.ndarray, vocabulary: Vocabulary, pro
             if len(piece) <= 1000:
                 np.add.at(counts, piece, seen)
             beta[end - length][who] += flow
-        beta[end - 1] += beta[end] * np.exp(UNKNOWN)
+        beta[end - 1] += beta[end] * np.exp(UNKNOWN + LIFT)
     return counts
 
 

@@ -61,6 +61,27 @@ def test_learns_and_answers(spark):
     assert L.language_id(docs.where("false"), docs.where("doc_id < 9")).count() == 0
 
 
+def test_uncovered_bytes_stay_finite(spark):
+    styled = "".join(map(chr, range(0x1D400, 0x1D40C)))  # 12 letters, 48 bytes that no piece covers
+    data = np.frombuffer(styled.encode(), np.uint8)
+    v = L.Vocabulary(L.pieces())
+    rows, n = L._matrix(data, np.array([0]), np.array([48]))
+    flat = np.full((v.size, 1), 1 / v.size)
+    table = dict.fromkeys(L.pieces(), 1 / v.size)
+    space = math.log(1 / v.size + math.exp(L.UNKNOWN))
+    assert len(data) == L.WORD_BYTES and not any(styled.encode()[a:b] in table for a in range(48) for b in range(a + 1, 49))
+    assert np.allclose(L.word_scores(rows, n, v, flat), space + 48 * L.UNKNOWN)
+    counts = L.expected_counts(rows, n, v, flat, np.ones((1, 1)))
+    assert np.isfinite(counts).all() and 0.99 < counts[L.pieces().index(b" ")] <= 1
+    say = {"en": "the thing with others that nothing", "fr": "le château où était la forêt"}
+    train = [(1, say["en"], "en", ""), (2, styled, "fr", ""), (3, say["fr"], "fr", ""), (4, say["en"] + " " + styled, "en", "")]
+    score = [(10, "the thing with", None, ""), (11, styled, None, ""), (12, styled * 3 + " où était", None, ""), (13, "le château", None, ""), (14, "that nothing", None, "")]
+    docs = spark.createDataFrame(train + score, SCHEMA).coalesce(1)
+    got = {r["doc_id"]: r for r in L.language_id(docs, docs.where("doc_id < 9")).collect()}
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert [got[i]["lang_pred"] for i in (1, 3, 10, 12, 13, 14)] == ["en", "fr", "en", "fr", "fr", "en"]
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
     got = L.language_id(docs, docs.where("doc_id % 3 <> 1")).join(docs, "doc_id").where("doc_id % 3 = 1").collect()
