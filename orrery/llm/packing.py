@@ -27,10 +27,12 @@ SEQUENCE, END_ID, GROUP_PIECES, PIECES_PER_SEQUENCE = 1024, 2, 50_000, 1024
 WEIGHTS = (1.0, 1e-3, 1e-3)
 
 
-def tokenizer(ranks_path: str | None = None) -> Callable[[str], np.ndarray]:
+def tokenizer(ranks_path: str | None = None, special: bool = False) -> Callable[[str], np.ndarray]:
     """Token ids of a text. The vocabulary of byte_bpe_50k.json is read in its form of ranks, which gives the same ids
-    several times as fast; strings of special tokens are ordinary text."""
+    several times as fast. With ``special``, strings of the JSON's added tokens get their ids, as tokenizers gives them;
+    without, they are ordinary text."""
     import base64
+    import json
 
     import public_tokenizers
     import tiktoken
@@ -38,21 +40,24 @@ def tokenizer(ranks_path: str | None = None) -> Callable[[str], np.ndarray]:
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    encoder = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    core = encoder._core_bpe
+    added: dict[str, int] = {}
+    if special:
+        with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as whole:
+            added = {t["content"]: t["id"] for t in json.load(whole)["added_tokens"]}
+    encoder = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    core, allowed = encoder._core_bpe, set(added)
     if hasattr(core, "encode_to_tiktoken_buffer"):
-        none: set[str] = set()
-        return lambda text: np.frombuffer(core.encode_to_tiktoken_buffer(text, none), np.uint32)
-    return lambda text: np.array(encoder.encode_ordinary(text), np.uint32)
+        return lambda text: np.frombuffer(core.encode_to_tiktoken_buffer(text, allowed), np.uint32)
+    return lambda text: np.array(encoder.encode(text, allowed_special=allowed, disallowed_special=()), np.uint32)
 
 
-def pieces(documents: DataFrame, key: str = "doc_id", text: str = "text", sequence: int = SEQUENCE, end_id: int = END_ID, ranks_path: str | None = None, with_ids: bool = False) -> DataFrame:
+def pieces(documents: DataFrame, key: str = "doc_id", text: str = "text", sequence: int = SEQUENCE, end_id: int = END_ID, ranks_path: str | None = None, with_ids: bool = False, special: bool = False) -> DataFrame:
     """key, piece, start, length, ids_crc32 and, if asked for, ids: one row a piece."""
     kind = documents.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(ranks_path)
+        encode = tokenizer(ranks_path, special)
         for batch in batches:
             rows: list[tuple[int, int, int, int, int]] = []
             ids: list[np.ndarray] = []
@@ -140,9 +145,9 @@ def pack(cut: DataFrame, key: str = "doc_id", sequence: int = SEQUENCE, most_pie
     return full.unionByName(short)
 
 
-def best_fit_packing(documents: DataFrame, key: str = "doc_id", text: str = "text", with_ids: bool = False, **how) -> DataFrame:
-    """The operator: pieces with sequence_id and offset."""
+def best_fit_packing(documents: DataFrame, key: str = "doc_id", text: str = "text", with_ids: bool = False, special: bool = False, **how) -> DataFrame:
+    """The operator: pieces with sequence_id and offset. ``special`` as in ``tokenizer``; the query and the pipeline set it."""
     from orrery.llm.parts import cut_lineage
 
-    made = cut_lineage(pieces(documents, key, text, sequence=how.get("sequence", SEQUENCE), with_ids=with_ids, ranks_path=how.pop("ranks_path", None)))
+    made = cut_lineage(pieces(documents, key, text, sequence=how.get("sequence", SEQUENCE), with_ids=with_ids, ranks_path=how.pop("ranks_path", None), special=special))
     return pack(made, key, **how)

@@ -49,7 +49,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm.packing import best_fit_packing
 
-    return best_fit_packing(_table(spark, sf_dir, "documents"))
+    return best_fit_packing(_table(spark, sf_dir, "documents"), special=True)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,28 @@ def test_every_token_lies_once_in_some_sequence(spark):
     assert len(sequences) <= -(-sum(r["length"] for r in got) // 1024) + 2
 
 
+def test_query_and_pipeline_have_the_ids_of_the_tokenizer_as_loaded(spark, tmp_path):
+    import importlib
+
+    from orrery.llm.registry import queries
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a  <|endoftext|><|endoftext|>\n\n b", "x<|endoftext|", "<|endoftext|>naïve " * 700, "no token"]
+    want = {}
+    for i, t in enumerate(texts):
+        ids = [*reference.encode(t, add_special_tokens=False).ids, 2]
+        first = (len(ids) - 1) % 1024 + 1
+        for p, a in enumerate([0, *range(first, len(ids), 1024)]):
+            b = first if p == 0 else a + 1024
+            want[i, p] = (a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes()))
+    assert 50256 in reference.encode(texts[0], add_special_tokens=False).ids
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    stage = dict(importlib.import_module("corpus_pipeline").STAGES)["best_fit_packing"]
+    for got in (queries()["op3_best_fit_packing"](spark, str(tmp_path)), stage(spark, docs, "")):
+        assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in got.collect()} == want
+
+
 def test_constraints_hold():
     lengths = np.sort(np.random.default_rng(1).integers(1, 1024, 3000))[::-1].copy()
     for most_pieces, most_cost in ((1024, 1024**2), (2, 1024**2), (1024, 400_000)):
