@@ -5,13 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from orrery.llm.mixing import mix_sources, render
 from orrery.llm.near_dedup import near_dedup
 from orrery.llm.packing import best_fit_packing
-from orrery.llm.parts import shared_folder
+from orrery.llm.parts import row_name, shared_folder
 from orrery.llm.quality_rules import passing
 from orrery.llm.substring_dedup import substring_dedup
 from orrery.session import ship
@@ -26,10 +26,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near copies."""
+    """The document with the least id of each class of near copies: of rows with one id, the one that is least by hash.
+    Rows without an id stay, one of equal ones."""
     ship(spark)
     kept = near_dedup(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
+    rows = docs.select(*COLUMNS, *row_name(*COLUMNS))
+    least = rows.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("_a"))).agg(F.min(F.struct("_a", "_b")).alias("_row"))
+    least = least.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("_row.*")
+    nth = F.row_number().over(W.partitionBy("_a", "_b").orderBy("doc_id"))
+    return rows.join(least, ["_a", "_b"], "left_semi").withColumn("_nth", nth).where("_nth = 1").select(*COLUMNS)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,21 +24,22 @@ from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from orrery.llm import tokens
-from orrery.llm.parts import cut_lineage
+from orrery.llm.parts import cut_lineage, row_name
 
 BLOCK, SLOTS, REPEATS, WEIGHTS, SEED, CHUNK_DOCS = 128, 8192, 3, (5.0, 2.0, 1.0), 20240607, 4096
 
 
 def sizes(documents: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """key, source, size: the number of words of every row."""
+    """key, source, size (the number of words of every row), and the row's name by content."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = [w.counts for _, _, w in tokens.chunks(batch[text], hashed=False)]
-            yield pa.RecordBatch.from_arrays([batch[key], batch[source], pa.array(np.concatenate([*n, np.empty(0, np.int64)]).astype(np.int64))], names=["key", "source", "size"])
+            size = pa.array(np.concatenate([*n, np.empty(0, np.int64)]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch[key], batch[source], size, batch["_a"], batch["_b"]], names=["key", "source", "size", "_a", "_b"])
 
     kinds = {f.name: f.dataType.simpleString() for f in documents.schema}
-    return documents.select(key, source, text).mapInArrow(count, f"key {kinds[key]}, source {kinds[source]}, size long")
+    return documents.select(key, source, text, *row_name(key, source, text)).mapInArrow(count, f"key {kinds[key]}, source {kinds[source]}, size long, _a long, _b long")
 
 
 def targets(totals: list[tuple[str | None, int]], weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS) -> list[dict]:
@@ -115,7 +116,7 @@ def _draws(spark: SparkSession, plan: list[dict], seed: int, slots: int, block:
 def mix_sources(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """The operator: (lines, mix). ``lines`` has a row a document: key, size, source_no, source_size, target, start (its
     place in its source's line). ``mix`` has the pieces of every slot: shard, slot, pass, source_no, block, key, start,
-    size, word_start, words (a run of words of one document)."""
+    size, word_start, words (a run of words of one document). Both have the row's name by content, _a and _b."""
     spark = documents.sparkSession
     sized = cut_lineage(sizes(documents, key, text, source))
     totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs")).collect()
@@ -127,21 +128,25 @@ def mix_sources(documents: DataFrame, key: str = "doc_id", text: str = "text", s
     known = known.withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(chunks)))
     before = W.partitionBy("source_no").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     bases = known.groupBy("source_no", "chunk").agg(F.sum("size").alias("held")).withColumn("base", F.coalesce(F.sum("held").over(before), F.lit(0))).drop("held")
-    inside = W.partitionBy("source_no", "chunk").orderBy("key", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source_no", "chunk").orderBy("key", "size", "_a", "_b").rowsBetween(W.unboundedPreceding, -1)
     lines = known.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(bases, ["source_no", "chunk"])
-    lines = cut_lineage(lines.select("key", "size", "source_no", "source_size", "target", (F.col("base") + F.col("within")).alias("start")))
-    whole = lines.where("size > 0").select("source_no", "key", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
+    lines = cut_lineage(lines.select("key", "size", "source_no", "source_size", "target", (F.col("base") + F.col("within")).alias("start"), "_a", "_b"))
+    whole = lines.where("size > 0").select("source_no", "key", "start", "size", "_a", "_b", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
     first = F.greatest(F.col("start"), F.col("block") * block)
     last = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
     cut = whole.withColumns({"word_start": first - F.col("start"), "words": last - first})
     return lines, draws.hint("merge").join(cut, ["source_no", "block"])
 
 
-def render(documents: DataFrame, mix: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def render(documents: DataFrame, mix: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The documents' rows with the text that each pass of the mix takes of them: runs of words, cut from the text as they
-    stand. Ids must tell rows apart."""
-    runs = mix.groupBy("key", "pass").agg(F.array_sort(F.collect_list(F.struct("word_start", "words"))).alias("_runs"))
-    rows = documents.join(runs.withColumnRenamed("key", "_key"), F.col(key).eqNullSafe(F.col("_key"))).drop("_key", "pass")
+    stand. Ids need not tell rows apart: rows equal in id, source and text are dealt the places that the mix takes of them."""
+    runs = mix.groupBy("_a", "_b", "start", "pass").agg(F.array_sort(F.collect_list(F.struct("word_start", "words"))).alias("runs"))
+    runs = runs.groupBy("_a", "_b").agg(F.collect_list(F.struct("start", "runs")).alias("_taken"))
+    rows = documents.select("*", *row_name(key, source, text)).join(runs, ["_a", "_b"])
+    nth = F.row_number().over(W.partitionBy("_a", "_b").orderBy(F.xxhash64(*documents.columns)))
+    rows = rows.withColumn("_start", F.get(F.array_sort(F.array_distinct("_taken.start")), nth - 1))
+    rows = rows.select(*documents.columns, F.explode(F.filter("_taken", lambda t: t["start"] == F.col("_start"))["runs"]).alias("_runs"))
 
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PART_BYTES = 8 << 20
@@ -87,3 +87,9 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return frame.checkpoint()
+
+
+def row_name(*columns: str) -> list[Column]:
+    """Two hashes, _a and _b, that name a row by what it holds in these columns; only equal rows share them."""
+    each = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return [F.xxhash64(F.lit(n), *each).alias(name) for n, name in ((1, "_a"), (2, "_b"))]

@@ -68,6 +68,26 @@ def test_rendered_text_has_the_taken_words(spark):
     assert out == took
 
 
+def test_rows_with_one_id_are_rendered_by_their_own_text(spark):
+    rows = [(i % 4, " ".join(f"w{i}_{j}" for j in range(20 + 37 * (i % 5))), "ab"[i % 2], "clash") for i in range(40)]
+    rows += [rows[0], rows[0], (None, "n1 n2 n3", "a", ""), (None, "n4 n5", "a", ""), (7, "s t", "a", ""), (7, "s t", "b", "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    _, mix = mix_sources(docs, block=16)
+    taken = mix.groupBy("source_no").agg(F.sum("words")).collect()
+    got, words, by_source = render(docs, mix).collect(), Counter(), Counter()
+    whole = {}
+    for i, t, s, _ in rows:
+        whole.setdefault((i, s), []).append(t.split())
+    for r in got:
+        found = r["text"].split()
+        assert any(set(found) <= set(t) for t in whole[r["doc_id"], r["source"]])
+        words.update((r["doc_id"], r["source"], w) for w in found)
+        by_source["ab".index(r["source"])] += len(found)
+    assert by_source == dict(map(tuple, taken))
+    copies = Counter((i, s, w) for i, t, s, _ in rows for w in t.split())
+    assert all(n <= 3 * copies[w] for w, n in words.items())
+
+
 def test_empty_table(spark):
     lines, mix = mix_sources(spark.createDataFrame([], SCHEMA))
     assert lines.count() == 0 and mix.count() == 0

@@ -41,6 +41,17 @@ def test_each_stage_on_its_input(spark):
     assert cut == {i: n - gone for i, n, gone, _ in cuts([tuple(r) for r in single], 20) if n > gone}
 
 
+def test_one_row_stays_of_each_class_when_ids_repeat(spark):
+    stage = dict(importlib.import_module("corpus_pipeline").STAGES)["near_dedup"]
+    rows = [r[:5] for r in documents()[:6]]
+    other = (rows[0][0], rows[0][1] + " end", "en", "s9", 0)
+    null = (None, " ".join(f"n{i}" for i in range(30)), "en", "s1", 0)
+    docs = spark.createDataFrame(rows + rows[:3] + [other, null, null], SCHEMA.removesuffix(", extra string"))
+    got = sorted(map(tuple, stage(spark, docs, "").collect()), key=str)
+    assert sorted(str(r[0]) for r in got) == sorted([*{str(i) for i in classes(rows).values()}, "None"])
+    assert all(r in [*rows, other, null] for r in got)
+
+
 def test_run(spark, tmp_path):
     pipeline = importlib.import_module("corpus_pipeline")
     spark.createDataFrame(documents(), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
