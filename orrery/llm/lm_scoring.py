@@ -116,7 +116,13 @@ def per_word(code: np.ndarray, doc: np.ndarray, worth: np.ndarray) -> tuple[np.n
     byte = code & U8(255)
     ends = np.flatnonzero((byte == U8(32)) | (byte == U8(END)))
     first = np.concatenate([[0], ends[:-1] + 1])[: len(ends)]
-    return np.maximum(np.add.reduceat(worth, first), -300) if len(ends) else np.empty(0), doc[ends], ends > first
+    return np.add.reduceat(worth, first) if len(ends) else np.empty(0), doc[ends], ends > first
+
+
+def either(p: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """log10 of p + 10**rest, which holds where 10**rest underflows."""
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(p), rest * np.log(10)) / np.log(10)
 
 
 def recalled(w: tokens.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -361,10 +367,10 @@ def lm_scores(documents: DataFrame, held_out: Column, key: str = "doc_id", text:
             last = np.append(owner[1:] != owner[:-1], True)[: len(owner)]
             whole = np.zeros(len(units))
             whole[has_word] = c / max(words, 1) * np.where(last, end_rate, 1 - end_rate)
-            mixed_units = known_share * whole + (1 - known_share) * 10**units
+            mixed_units = either(known_share * whole, np.log10(1 - known_share) + units)
             gate, hit = recalled(w)
-            mixed_units[has_word] = recall[gate] * hit * np.where(last, end_rate, 1 - end_rate) + (1 - recall[gate]) * mixed_units[has_word]
-            mixed = np.bincount(unit_doc, np.log10(np.maximum(mixed_units, 1e-300)), size)
+            mixed_units[has_word] = either(recall[gate] * hit * np.where(last, end_rate, 1 - end_rate), np.log10(1 - recall[gate]) + mixed_units[has_word])
+            mixed = np.bincount(unit_doc, mixed_units, size)
             for out, x in zip(columns, (w.counts + 1, np.bincount(owner, c > 0, size).astype(np.int64) + (ends > 0), base, mixed, np.bincount(doc, minlength=size)), strict=True):
                 out.append(x)
         n_tokens, n_known, base, mixed, size = (np.concatenate([*c, np.empty(0)]) for c in columns)

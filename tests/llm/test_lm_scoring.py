@@ -76,5 +76,17 @@ def test_mixing_beats_the_base_on_held_out_documents(spark):
     assert r[1] > r[0] and r[2] < 3, r
 
 
+def test_all_bytes_of_long_words_count(spark):
+    rng = random.Random(8)
+    noise = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n)) for n in (1_000, 10_000, 100_000)]
+    ids = [i for i in range(2000, 2100) if held(i)][:3]
+    rows = [r for r in corpus()[:60] if not held(r[0])] + [(i, t, "", "") for i, t in zip(ids, noise)]
+    got = {r["doc_id"]: r for r in L.lm_scores(spark.createDataFrame(rows, SCHEMA), fold()).collect()}
+    short, middle, long = (got[i] for i in ids)
+    assert middle["score"] == pytest.approx(10 * short["score"], rel=0.1) and long["score"] == pytest.approx(10 * middle["score"], rel=0.1)
+    assert all(r["bits_per_byte"] > 3 for r in (short, middle, long))
+    assert L.either(np.array([0.0, 0.25, 0.5]), np.array([-5000.0, -5000.0, math.log10(0.25)])) == pytest.approx([-5000, math.log10(0.25), math.log10(0.75)])
+
+
 def test_empty_table(spark):
     assert L.lm_scores(spark.createDataFrame([], SCHEMA), fold()).count() == 0
