@@ -3,8 +3,10 @@
 A shingle is five consecutive words; its weight is 1 + ln(occurrences). ProbMinHash gives each shingle exponential
 arrivals at rate weight, each at a random register; a register keeps the shingle that arrives first, and a document stops
 once no next arrival can beat its slowest register. Registers of two documents agree with the probability Jaccard of
-their weighted shingles. ``BANDS`` bands of ``ROWS`` registers name buckets; at a similarity of 0.8 a pair shares no
-bucket with probability 3e-5.
+their weighted shingles. ``BANDS`` bands of ``ROWS`` registers name buckets. A document that repeats a shingle has bands of
+a second signature too, with a weight of 1 for each distinct shingle. (Without repeats both are the same.) These agree with
+the plain Jaccard of two documents, which is what is verified, however often one of them repeats a passage; so a pair with
+a plain Jaccard of 0.8 shares no bucket with probability 3e-5.
 
 Documents with the same words are one node. In each bucket all nodes are compared with the least one (no pairs inside the
 bucket); links of ``THRESHOLD`` or more plain Jaccard of distinct shingles, counted exactly, are joined to components.
@@ -74,6 +76,16 @@ def prob_min_hash(doc: np.ndarray, hashes: np.ndarray, weight: np.ndarray, docs:
     return winner.reshape(docs, registers)
 
 
+def _bands(signature: np.ndarray, rows: int) -> np.ndarray:
+    """Names of the bands of each signature."""
+    docs, bands = len(signature), signature.shape[1] // rows
+    signature = signature.reshape(docs, bands, rows)
+    name = np.broadcast_to(np.arange(bands, dtype=U8) * U8(0x2545F4914F6CDD1D), (docs, bands)).copy()
+    for r in range(rows):
+        name = tokens.mix(name * U8(31) + signature[:, :, r])
+    return name
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -87,13 +99,16 @@ def sketches(documents: DataFrame, key: str, text: str, rows: int = ROWS, bands:
             for lo, hi, words in tokens.chunks(batch[text]):
                 docs = hi - lo
                 doc, hashes, n = shingles(words, size)
-                signature = prob_min_hash(doc, hashes, 1 + np.log(n), docs, rows * bands).reshape(docs, bands, rows)
-                name = np.broadcast_to(np.arange(bands, dtype=U8) * U8(0x2545F4914F6CDD1D), (docs, bands)).copy()
-                for r in range(rows):
-                    name = tokens.mix(name * U8(31) + signature[:, :, r])
                 distinct = np.bincount(doc, minlength=docs).astype(np.int32)
-                some = distinct > 0
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)), _signed(name[some].reshape(-1)))
+                some, again = distinct > 0, np.bincount(doc, n > 1, docs) > 0
+                number = np.cumsum(again) - 1
+                plain = again[doc]
+                # the documents, then once more, with equal weights, those that repeat a shingle
+                sets = (doc, hashes, 1 + np.log(n)), (number[doc[plain]], hashes[plain], np.ones(int(plain.sum())))
+                name = np.concatenate([_bands(prob_min_hash(*x, size_, rows * bands), rows) for x, size_ in zip(sets, (docs, int(again.sum())), strict=True)])
+                of = np.concatenate([np.flatnonzero(some), np.flatnonzero(again)])
+                name = np.concatenate([name[:docs][some], name[docs:]])[np.argsort(of, kind="stable")]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((some.astype(np.int64) + again) * bands)]).astype(np.int32)), _signed(np.ascontiguousarray(name).reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
                     [batch[key].slice(lo, docs), _signed(tokens.whole(words, 1)), _signed(tokens.whole(words, 2)), pa.array(distinct), lists], names=[key, "k1", "k2", "n", "bands"]
                 )
@@ -217,7 +232,7 @@ def near_dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", th
     sketch = cut_lineage(sketches(documents, key, text, rows, bands, size))
     some = sketch.where("n > 0")
     nodes = cut_lineage(some.groupBy("k1", "k2").agg(F.min(F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("node"), "n", "bands"))).alias("first")).where("first is not null").select("k1", "k2", "first.*"))
-    member = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    member = nodes.select("node", "n", F.explode(F.array_distinct("bands")).alias("bucket"))
     hubs = member.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("held")).where("held > 1")
     shared = cut_lineage(member.join(hubs, "bucket").select("bucket", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")))
     near = F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n")  # else the Jaccard is less in any case

@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are turned into words at a time; a longer document is handled alone.
+#: Bytes of text that are turned into words at a time; a longer document is handled alone, and its words hashed so many
+#: bytes at a time, so that it takes some bytes a byte and some numbers a word.
 CHUNK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
@@ -78,6 +79,23 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = CHUNK_BYTES) -> np.ndarray:
+    """Hashes of the words, over ``limit`` bytes at a time (a longer word is taken whole)."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + limit, side="right")))
+        base = starts[i]
+        s, e = starts[i:j] - base, ends[i:j] - base
+        n = int(e[-1])
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE_CODE[data[base : base + n]] * powers(_BASE, n), out=sums[1:])
+        hashes = (sums[e] - sums[s]) * powers(_INVERSE, n)[s]
+        out[i:j] = mix(hashes + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        i = j
+    return out
+
+
 def split(data: np.ndarray, bounds: np.ndarray, hashed: bool = True) -> Words:
     """Finds and hashes the words."""
     n = len(data)
@@ -93,12 +111,7 @@ def split(data: np.ndarray, bounds: np.ndarray, hashed: bool = True) -> Words:
     after[inner[inner > 0] - 1] = True
     word = ~space
     starts, ends = np.flatnonzero(word & before), np.flatnonzero(word & after) + 1
-    hashes = np.empty(0, np.uint64)
-    if hashed:
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE_CODE[data] * powers(_BASE, n), out=sums[1:])
-        hashes = (sums[ends] - sums[starts]) * powers(_INVERSE, n)[starts]
-        hashes = mix(hashes + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    hashes = _hashed(data, starts, ends) if hashed else np.empty(0, np.uint64)
     return Words(data, bounds, starts, ends, np.searchsorted(starts, bounds), hashes)
 
 
@@ -138,10 +151,10 @@ def joined(words: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(words.data)
     owner = np.repeat(np.arange(len(words.bounds) - 1), words.counts)
     kept = np.flatnonzero(keep)
-    step = np.zeros(n + 1, np.int32)
+    step = np.zeros(n + 1, np.int8)
     step[words.starts[kept]] += 1
-    np.subtract.at(step, words.ends[kept], 1)
-    take = np.cumsum(step[:-1]) > 0
+    step[words.ends[kept]] -= 1
+    take = np.cumsum(step[:-1], dtype=np.int8) > 0
     out = words.data
     if len(kept) > 1:
         more = owner[kept[:-1]] == owner[kept[1:]]

@@ -54,6 +54,18 @@ def test_classes_against_brute_force(spark):
         assert all(r["kept"] == (r["class_id"] == r["doc_id"]) for r in got)
 
 
+def test_copies_that_repeat_a_passage(spark):
+    rng, rows = random.Random(8), []
+    for i in range(40):
+        text = [f"d{i}w{j}" for j in range(204)]
+        footer = [f"d{i}f{j}" for j in range(rng.choice([30, 38]))]
+        rows += [(10 * i, " ".join(text), "x", 1), (10 * i + 1, " ".join(text + footer * 60), "x", 1)]
+    want = brute(rows)
+    assert sum(i != c for i, c in want.items()) == 40
+    got = near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == want
+
+
 def test_null_ids_and_empty_tables(spark):
     text = " ".join(f"w{i}" for i in range(30))
     got = near_dedup(spark.createDataFrame([(None, text, "", 1), (5, text, "", 1), (None, "a b c", "", 1)], SCHEMA)).collect()
