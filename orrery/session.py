@@ -10,7 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _sent: set[str] = set()
 
 
@@ -25,8 +25,8 @@ def session(name: str = "orrery", **conf: str) -> SparkSession:
 def ship(spark: SparkSession) -> None:
     """Adds this package to the Python path of all executors, once an application, and makes Arrow batches smaller unless
     the session says otherwise."""
-    if spark.conf.get(BATCH_ROWS) == "10000":
-        spark.conf.set(BATCH_ROWS, "2000")  # texts of some KB each: Spark's own default makes batches of tens of MB
+    if BATCH_BYTES not in spark.conf.getAll:
+        spark.conf.set(BATCH_BYTES, "4m")  # several copies of a batch are held at a time, beside each other in all cores
     context = spark.sparkContext
     if context.applicationId in _sent:
         return
