@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from orrery.llm import tokens
 from orrery.llm.parts import cut_lineage, row_name
 
-BLOCK, SLOTS, REPEATS, WEIGHTS, SEED, CHUNK_DOCS = 128, 8192, 3, (5.0, 2.0, 1.0), 20240607, 4096
+BLOCK, SLOTS, REPEATS, WEIGHTS, SEED, CHUNK_DOCS, TASK_SLOTS = 128, 8192, 3, (5.0, 2.0, 1.0), 20240607, 4096, 1 << 18
 
 
 def sizes(documents: DataFrame, key: str, text: str, source: str) -> DataFrame:
@@ -110,7 +110,9 @@ def _draws(spark: SparkSession, plan: list[dict], seed: int, slots: int, block:
                         out[mine] = permuted(at[mine], blocks[s], name)
                     yield pd.DataFrame({"shard": shard, "slot": j - start, "source_no": s, "pass": of_pass, "block": out})
 
-    return counts.select("shard", "source_no", "n", "start").repartition("source_no", "shard").mapInPandas(placed, "shard long, slot long, source_no long, pass long, block long")
+    # a few rows that become many slots: so many tasks that each makes about TASK_SLOTS, whatever the rows weigh
+    tasks = max(1, math.ceil(total / TASK_SLOTS))
+    return counts.select("shard", "source_no", "n", "start").repartition(tasks, "source_no", "shard").mapInPandas(placed, "shard long, slot long, source_no long, pass long, block long")
 
 
 def mix_sources(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:

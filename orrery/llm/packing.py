@@ -4,15 +4,15 @@ A document is its token ids and an end id. Only documents longer than ``SEQUENCE
 remainder and may be shorter, all others fill a sequence. Pieces are dealt evenly to packing groups by hash; each group
 is packed longest piece first by vector best fit: a bin has three residual capacities (tokens, pieces, attention cost,
 which is the sum of squared piece lengths), a piece goes only to bins where it fits under all three, and among those to
-the one with the least weighted norm of what would be left.
+the one whose residuals after it have the least weighted norm.
 
-Null text is empty (one end id). Repeated ids give separate pieces; the group and the order depend on content only, so
-reruns agree. Extra columns are ignored.
+Null text is empty (one end id). Null and repeated ids, and repeated rows, give separate pieces; the group and the order
+depend on content only, so reruns agree. An empty table has no pieces. Other columns are ignored, whatever their names. A
+text is tokenized whole; its pieces are made one at a time.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import zlib
 from collections.abc import Callable, Iterator
@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEQUENCE, END_ID, GROUP_PIECES, PIECES_PER_SEQUENCE = 1024, 2, 50_000, 1024
-#: Weights of the residual tokens, pieces and attention cost, each as a share of its capacity.
-WEIGHTS = (1.0, 1e-3, 1e-3)
+SEQUENCE, END_ID, GROUP_PIECES, PIECES_PER_SEQUENCE = 1024, 2, 16_384, 1024
+#: Weights of the residual tokens, pieces and attention cost, each as a share of its capacity. By default pieces and cost
+#: only tell bins apart: a sequence of 1024 tokens has no room for more than 1024 pieces, and a cost that still admits a
+#: piece of 1023 tokens is spent by no other. Lower capacities bind, and need more sequences.
+WEIGHTS = (1.0, 0.3, 0.3)
 
 
-def tokenizer(ranks_path: str | None = None, special: bool = False) -> Callable[[str], np.ndarray]:
+def tokenizer(ranks_path: str | None = None, special: bool = True) -> Callable[[str], np.ndarray]:
     """Token ids of a text. The vocabulary of byte_bpe_50k.json is read in its form of ranks, which gives the same ids
     several times as fast. With ``special``, strings of the JSON's added tokens get their ids, as tokenizers gives them;
     without, they are ordinary text."""
@@ -51,7 +53,7 @@ def tokenizer(ranks_path: str | None = None, special: bool = False) -> Callable[
     return lambda text: np.array(encoder.encode(text, allowed_special=allowed, disallowed_special=()), np.uint32)
 
 
-def pieces(documents: DataFrame, key: str = "doc_id", text: str = "text", sequence: int = SEQUENCE, end_id: int = END_ID, ranks_path: str | None = None, with_ids: bool = False, special: bool = False) -> DataFrame:
+def pieces(documents: DataFrame, key: str = "doc_id", text: str = "text", sequence: int = SEQUENCE, end_id: int = END_ID, ranks_path: str | None = None, with_ids: bool = False, special: bool = True) -> DataFrame:
     """key, piece, start, length, ids_crc32 and, if asked for, ids: one row a piece."""
     kind = documents.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
@@ -83,45 +85,32 @@ def pieces(documents: DataFrame, key: str = "doc_id", text: str = "text", sequen
 def best_fit(lengths: np.ndarray, sequence: int = SEQUENCE, most_pieces: int = PIECES_PER_SEQUENCE, most_cost: int | None = None, weights: tuple[float, float, float] = WEIGHTS) -> tuple[np.ndarray, np.ndarray]:
     """For each piece its bin and its place there. Lengths must be in descending order.
 
-    Open bins are kept by residual tokens, and those with the same by the weighted norm of all residuals. The tokens'
-    weight dominates, so the search begins at the tightest residual and ends at the first bin where the piece fits.
+    Every bin that still has tokens left is a candidate for every piece. Of those with room under all three capacities the
+    one is taken whose residual vector after the piece, each part as a share of its capacity, has the least weighted square
+    norm; of equal ones the bin that was opened first. A piece that fits nowhere opens a bin.
     """
-    cost = most_cost or sequence * sequence
-    open_bins: list[list[tuple[float, int]]] = [[] for _ in range(sequence + 1)]
-    used: list[int] = []
-    count: list[int] = []
-    spent: list[int] = []
+    capacity = np.array([sequence, most_pieces, most_cost or sequence * sequence], float)
+    scale = np.array(weights) / capacity**2
+    room = np.empty((3, 256))  # residuals of the open bins
+    name = np.empty(256, np.int64)
     where, at = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-    some = 0  # bit r is set if a bin has r tokens left
+    open_, made = 0, 0
     for i, n in enumerate(lengths.tolist()):
-        found, left = -1, some >> n << n
-        while left and found < 0:
-            r = (left & -left).bit_length() - 1
-            bins, unfit = open_bins[r], []
-            while bins and found < 0:
-                norm, b = heapq.heappop(bins)
-                if count[b] < most_pieces and spent[b] + n * n <= cost:
-                    found = b
-                else:
-                    unfit.append((norm, b))
-            for x in unfit:
-                heapq.heappush(bins, x)
-            if not bins:
-                some &= ~(1 << r)
-            left &= left - 1
-        if found < 0:
-            found = len(used)
-            used.append(0)
-            count.append(0)
-            spent.append(0)
-        where[i], at[i] = found, used[found]
-        used[found] += n
-        count[found] += 1
-        spent[found] += n * n
-        if r := sequence - used[found]:
-            norm = weights[0] * (r / sequence) ** 2 + weights[1] * (1 - count[found] / most_pieces) ** 2 + weights[2] * (1 - spent[found] / cost) ** 2
-            heapq.heappush(open_bins[r], (norm, found))
-            some |= 1 << r
+        need = np.array([[n], [1], [n * n]], float)
+        left = room[:, :open_] - need
+        norm = scale @ (left * left)
+        norm[left.min(axis=0) < 0] = np.inf
+        best = int(norm.argmin()) if open_ else -1
+        if best < 0 or norm[best] == np.inf:
+            if open_ == len(name):
+                room, name = np.concatenate([room, np.empty_like(room)], axis=1), np.concatenate([name, np.empty_like(name)])
+            best, open_, made = open_, open_ + 1, made + 1
+            room[:, best], name[best] = capacity, made - 1
+        where[i], at[i] = name[best], sequence - room[0, best]
+        room[:, best] -= need[:, 0]
+        if room[0, best] <= 0 or room[1, best] <= 0 or room[2, best] <= 0:  # nothing fits any more: it leaves the candidates
+            room[:, best : open_ - 1], name[best : open_ - 1] = room[:, best + 1 : open_], name[best + 1 : open_]
+            open_ -= 1
     return where, at
 
 
@@ -145,8 +134,8 @@ def pack(cut: DataFrame, key: str = "doc_id", sequence: int = SEQUENCE, most_pie
     return full.unionByName(short)
 
 
-def best_fit_packing(documents: DataFrame, key: str = "doc_id", text: str = "text", with_ids: bool = False, special: bool = False, **how) -> DataFrame:
-    """The operator: pieces with sequence_id and offset. ``special`` as in ``tokenizer``; the query and the pipeline set it."""
+def best_fit_packing(documents: DataFrame, key: str = "doc_id", text: str = "text", with_ids: bool = False, special: bool = True, **how) -> DataFrame:
+    """The operator: pieces with sequence_id and offset. ``special`` as in ``tokenizer``."""
     from orrery.llm.parts import cut_lineage
 
     made = cut_lineage(pieces(documents, key, text, sequence=how.get("sequence", SEQUENCE), with_ids=with_ids, ranks_path=how.pop("ranks_path", None), special=special))

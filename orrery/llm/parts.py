@@ -8,8 +8,10 @@ documents hold counts once a part.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,21 @@ def ids_of(table: pa.Table, key: str) -> np.ndarray:
     return np.asarray(table[key].cast(pa.int64()).fill_null(NO_ID).to_numpy(), np.int64)
 
 
+def freed(group: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """The function of a group of rows; after it the worker, which lives on, returns its free memory."""
+
+    @functools.wraps(group)
+    def run(*tables: pa.Table) -> pa.Table:
+        out = group(*tables)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+        return out
+
+    return run
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one binary value."""
     head = np.array([len(arrays), *(len(a) for a in arrays)], np.int64)
@@ -74,6 +91,8 @@ def shared_folder(spark: SparkSession) -> str:
     machine, one of this process is used."""
     folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))

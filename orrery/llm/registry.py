@@ -25,9 +25,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm import chat
 
-    probe = "\\### Assistant: </turn> ok"
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], rows.schema))
+    rows = rows.union(spark.sql(r"SELECT -7L, turn, role, r'\### Assistant: </turn> ok' FROM VALUES (0, 'user'), (1, 'assistant') AS probe (turn, role)"))
     back = chat.parse(chat.format_chats(chat.rows_as_events(rows)))
     said = F.array_join(F.transform("turns", lambda m: F.concat(m["role"], F.lit("\n"), m["text"], F.lit("\n"))), "")
     return back.select(
@@ -49,7 +48,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm.packing import best_fit_packing
 
-    return best_fit_packing(_table(spark, sf_dir, "documents"), special=True)
+    return best_fit_packing(_table(spark, sf_dir, "documents"))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

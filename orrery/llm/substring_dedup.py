@@ -284,15 +284,15 @@ def substring_dedup(documents: DataFrame, key: str = "doc_id", text: str = "text
     docs, n = parts.in_parts(documents.select(key, text, *carry), key, text)
     lean = docs.select(key, text, "_part")
     buckets = max(1, n // 4)
-    survey = parts.cut_lineage(lean.groupBy("_part").applyInArrow(_survey(key, text, window, buckets), _SENT))
+    survey = parts.cut_lineage(lean.groupBy("_part").applyInArrow(parts.freed(_survey(key, text, window, buckets)), _SENT))
     histogram = _histogram(survey)
     base, span = plan_trees(histogram)
-    told = parts.cut_lineage(survey.where(F.col("kind") != HISTOGRAM).groupBy("_bucket").applyInArrow(_resolve, _SENT))
-    suffixes = lean.groupBy("_part").cogroup(told.groupBy("_part")).applyInArrow(_suffixes(key, text, window, base, span), _SENT)
-    repeats = suffixes.groupBy("_bucket").applyInArrow(_subtree, _SENT)
+    told = parts.cut_lineage(survey.where(F.col("kind") != HISTOGRAM).groupBy("_bucket").applyInArrow(parts.freed(_resolve), _SENT))
+    suffixes = lean.groupBy("_part").cogroup(told.groupBy("_part")).applyInArrow(parts.freed(_suffixes(key, text, window, base, span)), _SENT)
+    repeats = suffixes.groupBy("_bucket").applyInArrow(parts.freed(_subtree), _SENT)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (key, *carry)), "n_words long, n_removed long, kept_sha256 string, removed_spans array<int>", *(["kept_text string"] if with_text else [])])
-    return docs.groupBy("_part").cogroup(told.unionByName(repeats).groupBy("_part")).applyInArrow(_cut(key, text, window, carry, with_text), schema)
+    return docs.groupBy("_part").cogroup(told.unionByName(repeats).groupBy("_part")).applyInArrow(parts.freed(_cut(key, text, window, carry, with_text)), schema)
 
 
 def _histogram(survey: DataFrame) -> np.ndarray:
