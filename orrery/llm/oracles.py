@@ -21,7 +21,7 @@ m AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines,
-         len(list_filter(w, lambda x: ends_with(x, '!!') OR ends_with(x, '!!.') OR ends_with(x, '!!,'))) AS n_shouted,
+         len(list_filter(w, lambda x: regexp_matches(x, '^[^\p{{Ll}}]*\p{{Lu}}[^\p{{Ll}}]*$'))) AS n_capital,
          len(list_filter(l, lambda x: regexp_matches(x, '^\s*[-•*·]\s'))) AS n_bullet,
          len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS n_ellipsis,
          len(list_filter(w, lambda x: x IN ({_STOPS}))) AS n_stop
@@ -29,7 +29,7 @@ m AS (
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND word_chars / n_words BETWEEN 2 AND 15 AND n_symbols / n_words <= 0.1
-       AND n_dup_lines / n_lines <= 0.5 AND n_repeat_words / n_words <= 0.5 AND n_shouted / n_words <= 0.5
+       AND n_dup_lines / n_lines <= 0.5 AND n_repeat_words / n_words <= 0.5 AND n_capital / n_words <= 0.5
        AND n_bullet / n_lines <= 0.9 AND n_ellipsis / n_lines <= 0.3 AND n_stop / n_words >= 0.02 AS kept
 FROM b""",
     "op5_chat_format": r"""

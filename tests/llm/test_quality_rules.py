@@ -27,7 +27,10 @@ def corpus():
 
 def test_counts_against_brute_force(spark):
     rows = corpus()
-    got = quality_rules(spark.createDataFrame(rows, SCHEMA).drop("n_words", "kept")).collect()
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"_text": F.lit("x"), "__words": F.lit(1), "-at": F.lit(2)})
+    found = quality_rules(docs)
+    assert {"_text", "__words", "-at"} < set(found.columns) and len(found.columns) == len(set(found.columns))
+    got = found.collect()
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     assert sorted(((r["doc_id"], *(r[n] for n in names)) for r in got), key=repr) == sorted(((r[0], *brute(r[1])) for r in rows), key=repr)
     for r in got:
@@ -36,16 +39,17 @@ def test_counts_against_brute_force(spark):
 
 def test_each_rule_rejects_what_it_names(spark):
     clean = " ".join(f"the w{i} of" for i in range(60))
-    junk = [" ".join(f"the w{i}###" for i in range(60)), " ".join(f"THE W{i}!!" for i in range(60)), " ".join(f"w{i}" for i in range(200)), " ".join("y" * 40 + str(i) + " the" for i in range(60)), clean + "\nof" * 200]
+    junk = [" ".join(f"the w{i}###" for i in range(60)), " ".join(f"the ÉW{i}!! ÉTÉ" for i in range(60)), " ".join(f"w{i}" for i in range(200)), " ".join("y" * 40 + str(i) + " the" for i in range(60)), clean + "\nof" * 200]
     kept = quality_rules(spark.createDataFrame([(i, t) for i, t in enumerate([clean, *junk])], "doc_id long, text string")).where("kept").collect()
     assert [r["doc_id"] for r in kept] == [0]
     assert len({r.measure for r in RULES}) == len(RULES) and all(w == w.lower() for ws in STOP_WORDS.values() for w in ws)
 
 
 def test_passing_keeps_columns_and_needs_no_user_function(spark):
-    docs = spark.createDataFrame([(1, " ".join(f"the w{i} of" for i in range(60)), "a", None), (2, "no", "b", None)], SCHEMA).drop("n_words", "kept").withColumn("extra", F.lit(1))
+    good = " ".join(f"the w{i} of" for i in range(60))
+    docs = spark.createDataFrame([(1, good, "a", None), (2, "no", "b", None), (1, good, "a", None), (3, good + " é" * 100_000, "", "")], SCHEMA).withColumns({"extra": F.lit(1), "_kept": F.lit(2)})
     out = passing(docs)
-    assert out.columns == docs.columns and [r["doc_id"] for r in out.collect()] == [1]
+    assert out.columns == docs.columns and [(r["doc_id"], r["n_words"], r["kept"], r["_kept"]) for r in out.collect()] == [(1, "a", None, 2)] * 2
     assert passing(docs.where("false")).count() == 0
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan
