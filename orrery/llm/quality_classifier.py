@@ -4,10 +4,12 @@ Two logistic models (quality, toxicity) over hashed words and a few ratios are f
 labelled documents: the ``SAMPLE`` labelled ids that are least by hash. Every document is scored. The scores are then
 evidence on their host and path: grouped sums give a Beta posterior of each host around the global mean and of each path
 around its host, with prior strengths from the spread between hosts (method of moments), so sparse sites shrink to the
-mean above them. A document's log-odds move by what its path's posterior says beyond the global mean.
+mean above them. A document's log-odds move by what the posterior of its path says beyond the global mean, without the
+document's own score, which is in its odds already.
 
-Null text is empty, a null host or path is a group of its own, null ids are kept as they are; rows with one id are scored
-each by its own text. Labels with a null are not used. Without labels of both kinds a model answers with the share of
+Null text is empty, a null host or path is a group of its own, null ids are kept as they are; rows with one id (equal rows
+too) are scored each by its own text. Texts are read whole, about a MB at a time. Other columns are dropped, whatever their
+names; an empty table gives an empty one. Labels with a null are not used. Without labels of both kinds a model answers with the share of
 positive labels, or 0.5.
 """
 
@@ -88,26 +90,31 @@ def _logit(p: Column) -> Column:
 
 def shrunk(scored: DataFrame, score: str, levels: tuple[str, ...] = ("host", "path")) -> DataFrame:
     """Adds ``<score>_global`` and ``<score>_<level>``: posterior means by grouped aggregation, each level's prior being
-    the mean of the level above."""
-    top = scored.agg(F.avg(score).alias("m"), F.count(F.lit(1)).alias("n")).first()
+    the mean of the level above; and ``<score>_others``, the last level's as it is without the row's own score."""
+    top = scored.agg(F.avg(score).alias("m")).first()
     mean = min(max(top["m"] if top["m"] is not None else 0.5, 1e-6), 1 - 1e-6)
-    above, table = F.lit(mean), None
+    above, table, strengths = F.lit(mean), None, []
     for i, level in enumerate(levels):
-        keys = list(levels[: i + 1])
-        sums = scored.groupBy(*keys).agg(F.sum(score).alias("_s"), F.count(F.lit(1)).alias("_n"))
+        keys, held, n = list(levels[: i + 1]), f"_s{i}", f"_n{i}"
+        sums = scored.groupBy(*keys).agg(F.sum(score).alias(held), F.count(F.lit(1)).alias(n))
         if table is not None:
             sums = sums.join(table, [sums[k].eqNullSafe(table[k]) for k in keys[:-1]]).drop(*(table[k] for k in keys[:-1]))
             above = F.col(f"{score}_{levels[i - 1]}")
-        spread = sums.agg(F.sum(F.col("_n")).alias("n"), F.sum(F.col("_n") * F.pow(F.col("_s") / F.col("_n") - above, 2)).alias("v"), F.count(F.lit(1)).alias("groups"), F.avg(F.col("_n")).alias("per")).first()
+        spread = sums.agg(F.sum(F.col(n)).alias("n"), F.sum(F.col(n) * F.pow(F.col(held) / F.col(n) - above, 2)).alias("v"), F.count(F.lit(1)).alias("groups"), F.avg(F.col(n)).alias("per")).first()
         strength = MAX_STRENGTH
         if spread["n"] and spread["groups"] > 1:
             between = max(spread["v"] / spread["n"] - mean * (1 - mean) / spread["per"], 0.0)
             strength = min(max(mean * (1 - mean) / between - 1 if between else MAX_STRENGTH, MIN_STRENGTH), MAX_STRENGTH)
-        table = sums.withColumn(f"{score}_{level}", (F.col("_s") + strength * above) / (F.col("_n") + strength)).drop("_s", "_n")
+        table = sums.withColumn(f"{score}_{level}", (F.col(held) + strength * above) / (F.col(n) + strength))
+        strengths.append(strength)
     keys = list(levels)
     named = table.withColumnsRenamed({k: f"_{k}" for k in keys})
     out = scored.join(named, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).drop(*(f"_{k}" for k in keys))
-    return out.withColumn(f"{score}_global", F.lit(mean))
+    others = F.lit(mean)
+    for i, strength in enumerate(strengths):
+        others = (F.col(f"_s{i}") - F.col(score) + strength * others) / (F.col(f"_n{i}") - 1 + strength)
+    out = out.withColumns({f"{score}_global": F.lit(mean), f"{score}_others": F.least(F.greatest(others, F.lit(0.0)), F.lit(1.0))})
+    return out.drop(*(f"_{x}{i}" for x in "sn" for i in range(len(levels))))
 
 
 def quality_classifier(documents: DataFrame, labels: DataFrame, host: Column, path: Column, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
@@ -153,6 +160,6 @@ def quality_classifier(documents: DataFrame, labels: DataFrame, host: Column, pa
     scored = cut_lineage(given.mapInArrow(score, f"`{key}` {kind}, host string, path string, quality double, toxicity double"))
     for name in ("quality", "toxicity"):
         scored = shrunk(scored, name)
-        odds = _logit(F.col(name)) + _logit(F.col(f"{name}_path")) - _logit(F.col(f"{name}_global"))
+        odds = _logit(F.col(name)) + _logit(F.col(f"{name}_others")) - _logit(F.col(f"{name}_global"))
         scored = scored.withColumn(f"{name}_posterior", 1 / (1 + F.exp(-odds)))
     return scored.withColumn("kept", (F.col("quality_posterior") >= 0.5) & (F.col("toxicity_posterior") < 0.5))
