@@ -1,15 +1,20 @@
-"""Exact top-k search by BM25 over an inverted index with block-max pruning, in shards.
+"""Exact top-k search by BM25 over an inverted index with block-max WAND pruning, in shards.
 
 A shard is a few MB of documents: its terms, their postings and term counts, in one binary value. Query terms count once
 (idf x saturated term count), with document frequencies and lengths of the whole corpus. A query set is taken in blocks
-of bounded size, sent to all shards. In each shard a block of ``BLOCK_DOCS`` documents has, for every term, the largest
-impact inside; the sum of these over a query's terms bounds all scores in the block. Blocks whose bound can't reach the
-k-th best score that the task has seen for the query are left out, so pruning never changes the result. The tasks' best
-are then merged.
+of bounded size, sent to all shards; a shard meets a group of queries at a time.
+
+The pivot test of WAND holds for all documents of a shard at once. Lists whose terms many queries and documents share (of
+little weight, and nearly all postings) are the ones to skip. The others are traversed first and give partial scores; of
+the skipped ones each has its largest impact in every block of ``BLOCK_DOCS`` documents, and a query's sum of these bounds
+what they can add. Only documents whose partial score and bound together reach the query's threshold, the k-th best score
+that the task has seen so far, are pivots: their skipped lists are read and their scores completed. Others are never
+completed, so pruning can't change the result. The tasks' best are then merged.
 
 Scores are rounded to ``DIGITS`` digits; equal ones go by the smaller key. Documents without a common term are not
-answers; null and empty texts have no terms. A null key is indexed and ranks after others. Rows with one key are rows of
-their own.
+answers; null and empty texts have no terms. A null key is indexed and ranks after others, and asks nothing. Rows with one
+key, equal ones too, are rows of their own. Keys are integers; other columns are ignored, whatever their names; an empty
+table or query set has no answers. Texts are read whole: a document longer than a shard is a shard of its own.
 """
 
 from __future__ import annotations
@@ -27,8 +32,8 @@ from orrery.llm.parts import cut_lineage, NO_ID, gather, ids_of, pack, unpack
 
 K1, B, TOP, DIGITS = 1.2, 0.75, 10, 9
 SHARD_BYTES, BLOCK_DOCS, QUERY_WORDS, ROW_QUERIES, DENSE_TERMS = 6 << 20, 64, 1 << 20, 512, 512
-#: The share of (query, block) cells that bounds must rule out to be used on every shard.
-USEFUL = 0.3
+#: Under this share of pivots they are completed one by one, else by blocks.
+FEW = 0.02
 U8, LAST = np.uint64, np.iinfo(np.int64).max
 
 
@@ -122,39 +127,22 @@ class Postings:
         n = self.first[which + 1] - self.first[which]
         return Postings(np.concatenate([[0], np.cumsum(n)]), self.row[at], self.value[at])
 
-    def only(self, rows: np.ndarray) -> Postings:
-        """Those of marked rows, which are renumbered."""
-        if rows.all():
-            return self
-        keep = rows[self.row]
-        upto = np.concatenate([[0], np.cumsum(keep)])
-        return Postings(upto[self.first], (np.cumsum(rows) - 1)[self.row[keep]], self.value[keep])
-
-
-def block_maxima(shard: Postings, blocks: int, docs: int) -> Postings:
-    """The largest value of each term in each block of documents."""
-    term = np.repeat(np.arange(len(shard.first) - 1), np.diff(shard.first))
-    block = shard.row // docs
-    edge = np.flatnonzero(np.diff(term * blocks + block, prepend=-1))
-    return Postings(np.searchsorted(term[edge], np.arange(len(shard.first))), block[edge], np.maximum.reduceat(shard.value, edge) if len(edge) else np.empty(0))
 
-
-def product(left: Postings, right: Postings, rows: int, columns: int) -> np.ndarray:
-    """Sum over terms of left x right; terms that most pairs share go through a dense product."""
+def halves(left: Postings, right: Postings, rows: int, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """rows x columns sums of left x right over the terms that are traversed; dense factors, rows x terms and terms x
+    columns, of those that may be skipped; and the number of the latter's postings on the right."""
     a, b = np.diff(left.first), np.diff(right.first)
     work = a * b
     heavy = np.zeros(len(work), bool)
     if len(work) > DENSE_TERMS:
         heavy[np.argpartition(work, -DENSE_TERMS)[-DENSE_TERMS:]] = True
     heavy &= work > rows * columns // 200  # about where a dense column costs less than its single products
+    some = np.flatnonzero(heavy)
+    x, y = np.zeros((rows, len(some))), np.zeros((len(some), columns))
+    l, r = left.of(some), right.of(some)
+    x[l.row, np.repeat(np.arange(len(some)), np.diff(l.first))] = l.value
+    y[np.repeat(np.arange(len(some)), np.diff(r.first)), r.row] = r.value
     out = np.zeros((rows, columns))
-    if heavy.any():
-        some = np.flatnonzero(heavy)
-        x, y = np.zeros((rows, len(some))), np.zeros((len(some), columns))
-        l, r = left.of(some), right.of(some)
-        x[l.row, np.repeat(np.arange(len(some)), np.diff(l.first))] = l.value
-        y[np.repeat(np.arange(len(some)), np.diff(r.first)), r.row] = r.value
-        out += x @ y
     light = np.flatnonzero(~heavy & (work > 0))
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(work[light]) // 1_000_000)) + 1, [len(light)]])
     for s, e in zip(cuts[:-1], cuts[1:], strict=True):
@@ -163,23 +151,43 @@ def product(left: Postings, right: Postings, rows: int, columns: int) -> np.ndar
         at = np.arange(times.sum()) + np.repeat(np.repeat(r.first[:-1], np.diff(l.first)) - np.concatenate([[0], np.cumsum(times)[:-1]]), times)
         cell = np.repeat(l.row * columns, times) + r.row[at]
         out += np.bincount(cell, np.repeat(l.value, times) * r.value[at], rows * columns).reshape(rows, columns)
-    return out
-
-
-def _search(index: DataFrame, queries: np.ndarray, wanted: np.ndarray, first: np.ndarray, rows: np.ndarray, idf: np.ndarray, mean_length: float, top: int) -> DataFrame:
-    """The best of each task for each query: query, key, score. rows: queries by term."""
-    weights = np.repeat(idf, np.diff(first))
-    groups = []
-    for g in range(0, len(queries), ROW_QUERIES):
-        mark = (rows >= g) & (rows < g + ROW_QUERIES)
-        upto = np.concatenate([[0], np.cumsum(mark)])
-        groups.append((g, Postings(upto[first], rows[mark] - g, weights[mark])))
+    return out, x, y, int(b[some].sum())
+
+
+def pivots_scored(left: Postings, right: Postings, rows: int, columns: int, least: np.ndarray) -> tuple[np.ndarray, float]:
+    """Scores, rows x columns, of all pairs that may reach the row's least score (-inf for the rest), and the share of pairs
+    whose skipped lists were not read."""
+    score, x, y, _ = halves(left, right, rows, columns)
+    if not x.shape[1]:
+        return score, 0.0
+    edges = np.arange(0, columns, BLOCK_DOCS)
+    bound = x @ np.maximum.reduceat(y, edges, axis=1)
+    pivot = score + np.repeat(bound, BLOCK_DOCS, axis=1)[:, :columns] >= least[:, None] - 10.0 ** (1 - DIGITS)
+    share = pivot.mean()
+    if share < FEW:
+        q, d = np.nonzero(pivot)
+        by_document = np.ascontiguousarray(y.T)
+        for a in range(0, len(q), 8192):
+            i, j = q[a : a + 8192], d[a : a + 8192]
+            score[i, j] += np.einsum("ij,ij->i", x[i], by_document[j])
+    else:
+        for a in edges:
+            ask = np.flatnonzero(pivot[:, a : a + BLOCK_DOCS].any(axis=1))
+            if len(ask):
+                score[ask, a : a + BLOCK_DOCS] += x[ask] @ y[:, a : a + BLOCK_DOCS]
+    score[~pivot] = -np.inf
+    return score, 1 - share
+
+
+def _search(index: DataFrame, held, top: int) -> DataFrame:
+    """The best of each task for each query: query, key, score. held: a broadcast of query keys, wanted terms, postings of
+    queries by term and group, and the mean length."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, wanted, groups, mean_length = held.value
         n = len(queries)
         best = np.full((n, top), -np.inf)
         keys = np.zeros((n, top), np.int64)
-        turn, asked, pruned = 0, 1.0, 1.0
         for batch in batches:
             for x in batch["shard"]:
                 ids, lengths, terms, start, doc, count = _open(x)
@@ -187,35 +195,24 @@ def _search(index: DataFrame, queries: np.ndarray, wanted: np.ndarray, first: np
                 norm = K1 * (1 - B + B * lengths / mean_length)
                 shard = Postings(start, doc.astype(np.int64), count * (K1 + 1) / (count + norm[doc])).of(at)
                 order = np.where(ids == NO_ID, LAST, ids)
-                # bounds that rule out little cost more than they save: then they are tried on every eighth shard only
-                bounded, turn = pruned >= USEFUL * asked or turn % 8 == 0, turn + 1
-                blocks = -(-len(ids) // BLOCK_DOCS)
-                if bounded:
-                    bound = block_maxima(shard, blocks, BLOCK_DOCS)
                 for g, group in groups:
-                    mine_q, size = group.of(mine), min(ROW_QUERIES, n - g)
-                    least = best[g : g + size, -1]
-                    open_ = np.ones((size, blocks), bool)
-                    if bounded and np.isfinite(least).any():
-                        open_ = product(mine_q, bound, size, blocks) >= least[:, None] - 10.0 ** (1 - DIGITS)
-                        asked, pruned = 0.9 * asked + open_.size, 0.9 * pruned + open_.size - open_.any(axis=1).sum() * open_.any(axis=0).sum()
-                    ask, look = open_.any(axis=1), np.repeat(open_.any(axis=0), BLOCK_DOCS)[: len(ids)]
-                    if not ask.any():
-                        continue
-                    score = product(mine_q.only(ask), shard.only(look), int(ask.sum()), int(look.sum()))
-                    who, names = np.flatnonzero(ask) + g, order[look]
-                    floor = best[who, -1]
+                    size = min(ROW_QUERIES, n - g)
+                    score, _ = pivots_scored(group.of(mine), shard, size, len(ids), best[g : g + size, -1])
+                    floor = best[g : g + size, -1]
                     if score.shape[1] > top and not np.isfinite(floor).all():
                         floor = np.maximum(floor, np.partition(score, -top, axis=1)[:, -top])
                     # all that may tie with the last place stay, so that rounded scores and keys decide
                     q, d = np.nonzero(score >= np.maximum(floor - 10.0 ** (1 - DIGITS), 1e-300)[:, None])
+                    if not len(q):
+                        continue
+                    who, q = np.unique(q, return_inverse=True)
                     all_q = np.concatenate([q, np.repeat(np.arange(len(who)), top)])
-                    all_s = np.concatenate([np.round(score[q, d], DIGITS), best[who].ravel()])
-                    all_k = np.concatenate([names[d], keys[who].ravel()])
+                    all_s = np.concatenate([np.round(score[who[q], d], DIGITS), best[who + g].ravel()])
+                    all_k = np.concatenate([order[d], keys[who + g].ravel()])
                     by = np.lexsort((all_k, -all_s, all_q))
                     rank = np.arange(len(by)) - np.searchsorted(all_q[by], all_q[by])
                     keep = by[rank < top]
-                    best[who], keys[who] = all_s[keep].reshape(-1, top), all_k[keep].reshape(-1, top)
+                    best[who + g], keys[who + g] = all_s[keep].reshape(-1, top), all_k[keep].reshape(-1, top)
         q, r = np.nonzero(np.isfinite(best))
         found = keys[q, r]
         yield pa.RecordBatch.from_arrays([pa.array(queries[q]), pa.array(found, mask=found == LAST), pa.array(best[q, r])], names=["query", "key", "score"])
@@ -223,6 +220,16 @@ def _search(index: DataFrame, queries: np.ndarray, wanted: np.ndarray, first: np
     return index.mapInArrow(search, "query long, key long, score double")
 
 
+def _grouped(queries: np.ndarray, first: np.ndarray, rows: np.ndarray, idf: np.ndarray) -> list[tuple[int, Postings]]:
+    """Postings of ``ROW_QUERIES`` queries at a time by term, with idf as value; rows are numbered inside their group."""
+    weights, groups = np.repeat(idf, np.diff(first)), []
+    for g in range(0, len(queries), ROW_QUERIES):
+        mark = (rows >= g) & (rows < g + ROW_QUERIES)
+        upto = np.concatenate([[0], np.cumsum(mark)])
+        groups.append((g, Postings(upto[first], rows[mark] - g, weights[mark])))
+    return groups
+
+
 def top_k(documents: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", top: int = TOP) -> DataFrame:
     """The operator: query, rank (from 1), key, score for the ``top`` best documents of each query."""
     spark = documents.sparkSession
@@ -238,8 +245,10 @@ def top_k(documents: DataFrame, queries: DataFrame, key: str = "doc_id", text: s
         wanted, first = np.unique(hashes[order], return_index=True)
         n = _frequencies(index, wanted)
         idf = np.log(1 + (docs - n + 0.5) / (n + 0.5))
-        best = _search(index, block["query"].to_numpy(), wanted, np.append(first, len(order)), row[order], idf, max(words / docs, 1e-9), top)
-        found.append(cut_lineage(best))
+        names = block["query"].to_numpy()
+        held = spark.sparkContext.broadcast((names, wanted, _grouped(names, np.append(first, len(order)), row[order], idf), max(words / docs, 1e-9)))
+        found.append(cut_lineage(_search(index, held, top)))
+        held.unpersist()
     if not found:
         found = [spark.createDataFrame([], "query long, key long, score double")]
     rank = W.partitionBy("query").orderBy(F.col("score").desc(), F.col("key").asc_nulls_last())

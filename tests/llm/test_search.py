@@ -33,6 +33,7 @@ def test_against_brute_force(spark, monkeypatch, words, row_queries):
     monkeypatch.setattr(search, "ROW_QUERIES", row_queries)
     monkeypatch.setattr(search, "SHARD_BYTES", 3000)
     monkeypatch.setattr(search, "BLOCK_DOCS", 4)
+    monkeypatch.setattr(search, "DENSE_TERMS", 8)
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(300)]
     rows = [(i, " ".join(rng.choices(vocabulary, [1 / (j + 1) for j in range(300)], k=rng.choice([0, 3, 20, 60]))), "x", 1) for i in range(150)]
@@ -43,15 +44,26 @@ def test_against_brute_force(spark, monkeypatch, words, row_queries):
     assert sorted([(r["query"], r["rank"], r["doc_id"], round(r["score"], 6)) for r in got], key=repr) == want
 
 
-def test_product_of_postings():
+def test_pivots_hold_all_that_reach_the_threshold(monkeypatch):
+    monkeypatch.setattr(search, "DENSE_TERMS", 40)
     rng = np.random.default_rng(0)
-    x, y = (rng.random((200, n)) * (rng.random((200, n)) < 0.2) for n in (30, 40))
+    held = np.concatenate([np.full(20, 0.9), np.full(180, 0.05)])[:, None]
+    x, y = (rng.random((200, n)) * (rng.random((200, n)) < held) * np.where(held > 0.5, 0.3, 3) for n in (30, 400))
+    y *= np.where(np.arange(400) // 64 % 2, 0.1, 1)  # some blocks have small impacts only
 
     def postings(m):
         t, r = np.nonzero(m)
         return search.Postings(np.searchsorted(t, np.arange(201)), r, m[t, r])
 
-    assert np.allclose(search.product(postings(x), postings(y), 30, 40), x.T @ y)
+    want = x.T @ y
+    for few in (0.0, 1.0):
+        monkeypatch.setattr(search, "FEW", few)
+        for rank in (1, 10, 400):
+            least = np.sort(want, axis=1)[:, -rank] if rank < 400 else np.full(30, -np.inf)
+            got, skipped = search.pivots_scored(postings(x), postings(y), 30, 400, least)
+            reach = want >= least[:, None]
+            assert np.allclose(got[reach], want[reach]) and (got[np.isfinite(got)] <= want[np.isfinite(got)] + 1e-9).all()
+            assert (skipped > 0.5) if rank == 1 else (skipped == 0) == (rank == 400)
 
 
 def test_empty_tables(spark):
