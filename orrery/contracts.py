@@ -41,6 +41,18 @@ def incomplete_ranks(frame: DataFrame, key: str, rank: str, size: int) -> DataFr
     return seen.where((F.col("rows") != size) | (F.col("ranks") != size) | (F.col("least") != 1) | (F.col("most") != size))
 
 
+def short_groups(entities: DataFrame, frame: DataFrame, key: str, size: int) -> DataFrame:
+    """Entities with fewer rows than ``size``, those without any included."""
+    held = frame.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+    return entities.select(key).distinct().join(held, key, "left").fillna(0, ["rows"]).where(F.col("rows") < size)
+
+
+def disagreeing(left: DataFrame, right: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Rows of the left whose column differs from the right's of the same keys, or whose keys the right lacks."""
+    other = right.select(*keys, F.col(column).alias("_other"), F.lit(True).alias("_there")).distinct()
+    return left.select(*keys, column).join(other, keys, "left").where(F.col("_there").isNull() | ~F.col(column).eqNullSafe(F.col("_other"))).drop("_there")
+
+
 def wrong_sums(frame: DataFrame, key: str, weight: str, tolerance: float = 1e-5) -> DataFrame:
     """Entities whose weights don't sum to one."""
     return frame.groupBy(key).agg(F.sum(weight).alias("total")).where(F.abs(F.col("total") - 1) > tolerance)

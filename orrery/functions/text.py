@@ -33,10 +33,29 @@ def fold(text: Column) -> Column:
 
 
 def stable_id(name: Column, kind: str = "software", width: int = 40) -> Column:
-    """kind:slug-digest of the folded name; the digest tells apart names with one slug."""
+    """kind:slug:digest of the folded name; the digest tells apart names with one slug."""
     folded = normalize(fold(name))
     slug = F.substring(F.regexp_replace(F.regexp_replace(folded, "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, width)
-    return F.concat(F.lit(f"{kind}:"), F.when(slug == "", F.lit(kind)).otherwise(slug), F.lit("-"), F.substring(F.sha2(folded, 256), 1, 10))
+    return F.concat(F.lit(f"{kind}:"), F.when(slug == "", F.lit(kind)).otherwise(slug), F.lit(":"), F.substring(F.sha2(folded, 256), 1, 10))
+
+
+# The sentences that rows of evidence are written as.
+
+
+def job_line(title: Column, start: Column, end: Column, evidence: Column) -> Column:
+    return F.concat(F.lit("Role: "), normalize(title), F.lit(". Dates: "), date_label(start), F.lit(" to "), date_label(end, "present"), F.lit(". Evidence: "), normalize(evidence))
+
+
+def project_line(title: Column, completed: Column, evidence: Column) -> Column:
+    return F.concat(F.lit("Project: "), normalize(title), F.lit(". Completed: "), date_label(completed), F.lit(". Evidence: "), normalize(evidence))
+
+
+def course_line(name: Column, completed: Column) -> Column:
+    return F.concat(F.lit("Course: "), normalize(name), F.lit(". Completed: "), date_label(completed), F.lit("."))
+
+
+def claim_line(name: Column, level: Column) -> Column:
+    return F.concat(F.lit("Claimed skill: "), normalize(name), F.lit("; level: "), F.coalesce(level.cast("int").cast("string"), F.lit("unknown")), F.lit("."))
 
 
 def is_yes(flag: Column) -> Column:

@@ -15,9 +15,9 @@ def norm(a: Column) -> Column:
 
 
 def l2_normalize(a: Column) -> Column:
-    """Unit length; a zero vector stays zero."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    """Unit length; a zero vector stays zero. The norm is bound before the elements are visited, so it is computed once."""
+    bound = F.array(F.struct(a.alias("v"), norm(a).alias("n")))
+    return F.get(F.transform(bound, lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x.cast("double") / s["n"]).otherwise(F.lit(0.0)))), F.lit(0))
 
 
 def require_unit(frame: DataFrame, column: str) -> DataFrame:

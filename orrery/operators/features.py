@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from orrery.functions import text as T
 
 
-def assembled_text(rows: DataFrame, key: str, order: list[Column], written: Column) -> DataFrame:
-    """key, tower_text: each row's text normalized, empty ones dropped, in order, as one normalized text."""
+def assembled_text(rows: DataFrame, key: str, order: list[Column], written: Column, newest_first: bool = False) -> DataFrame:
+    """key, tower_text: each row's text normalized, empty ones dropped, in order, as one normalized text. ``newest_first``
+    takes the order from the largest down, nulls last; else it rises, nulls first."""
     lines = rows.select(key, F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), T.normalize(written).alias("line")).alias("s"))
-    sorted_ = F.array_sort(F.collect_list("s"))
+    sorted_ = F.sort_array(F.collect_list("s"), asc=not newest_first)
     return lines.where("s.line <> ''").groupBy(key).agg(F.array_join(F.transform(sorted_, lambda s: s["line"]), " ").alias("tower_text"))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions.scoring import sample_weight
@@ -19,21 +21,39 @@ def hard_negatives(predictions: DataFrame, truth: DataFrame, count: int, query:
     return ranked(missed, [query], count, F.col("retrieval_rank")).drop("rank").withColumn("negative_type", F.lit("hard_retrieval"))
 
 
-def random_negatives(queries: DataFrame, items: DataFrame, taken: DataFrame, count: int, seed: str, buckets: int = 64, query: str = "query_id", item: str = "item_id") -> DataFrame:
-    """``count`` distinct items a query that are not taken, by hash order; the same on any cluster.
+def prime_from(n: int) -> int:
+    """The least prime that is n or more."""
+    n = max(2, n)
+    while any(n % d == 0 for d in range(2, math.isqrt(n) + 1)):
+        n += 1
+    return n
+
+
+def scattered(seed: str, key: Column, step: Column, prime: int) -> Column:
+    """Place number ``step`` of the key's own permutation of 0..prime - 1: a line modulo the prime, with a slope and a start
+    drawn from the key's digest."""
+    draw = lambda name, most: F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit(name), key.cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(most))
+    return F.pmod((draw("slope", prime - 1) + 1) * step + draw("start", prime), F.lit(prime))
+
+
+def random_negatives(queries: DataFrame, items: DataFrame, taken: DataFrame, count: int, seed: str, query: str = "query_id", item: str = "item_id") -> DataFrame:
+    """``count`` distinct items a query that are not taken; the same on any cluster. Raises if a catalog leaves fewer.
+
+    Items are numbered in the order of their keys. A query draws numbers by a permutation of its own, as many as make sure
+    that ``count`` of them are free (that many, and one for each item that is taken), and keeps the first free ones. So the
+    work is in proportion to what is asked for and taken, whatever the size of the catalog."""
+    from orrery.sources.tables import numbered
 
-    Items are dealt to hash buckets and a query visits buckets from its own on until enough of the catalog is in sight,
-    so it meets a few times ``count`` items, not all. A catalog of fewer than four times that many is met whole."""
+    items, taken = items.select(item).distinct(), taken.select(query, item).distinct()
     size = items.count()
-    buckets = max(1, min(buckets, size // max(1, 4 * count)))
-    digest = lambda *parts: F.md5(F.concat_ws("|", F.lit(seed), *parts))
-    bucket = lambda *parts: F.pmod(F.conv(F.substring(digest(*parts), 1, 8), 16, 10).cast("long"), F.lit(buckets))
-    reach = max(1, -(-buckets // 3)) if buckets > 1 else 1
-    dealt = items.select(item).withColumn("_b", bucket(F.col(item).cast("string")))
-    seen = queries.select(query).withColumn("_b", F.explode(F.transform(F.sequence(F.lit(0), F.lit(reach - 1)), lambda i: F.pmod(bucket(F.lit("q"), F.col(query).cast("string")) + i, F.lit(buckets)))))
-    open_ = seen.join(dealt, "_b").join(taken.select(query, item), [query, item], "left_anti")
-    drawn = open_.withColumn("_o", digest(F.col(query).cast("string"), F.col(item).cast("string")))
-    return ranked(drawn, [query], count, F.col("_o"), F.col(item)).select(query, item, F.lit("random").alias("negative_type"))
+    prime = prime_from(size)
+    held = taken.groupBy(query).agg(F.count(F.lit(1)).alias("_held"))
+    asked = queries.select(query).distinct().join(held, query, "left").withColumn("_held", F.coalesce("_held", F.lit(0)))
+    tries = F.least(F.lit(prime), F.col("_held") + count + prime - size)
+    tries = F.when(F.col("_held") + count > size, F.raise_error(F.lit("the catalog leaves too few items to draw")).cast("long")).otherwise(tries)
+    drawn = asked.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), tries - 1))).withColumn("_no", scattered(seed, F.col(query), F.col("_o"), prime))
+    free = drawn.join(numbered(items, item, "_no"), "_no").join(taken, [query, item], "left_anti")
+    return ranked(free, [query], count, F.col("_o")).select(query, item, F.lit("random").alias("negative_type"))
 
 
 def pair_counts(index: DataFrame, positive: DataFrame, negative: DataFrame, query: str = "query_id") -> DataFrame:

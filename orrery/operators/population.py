@@ -114,8 +114,14 @@ def _items(people: DataFrame, there: DataFrame, source: str, count: Column) -> D
     return people.join(mine, "candidate_id").withColumn("n", F.explode(F.sequence(F.lit(1), count)))
 
 
-def job_history(people: DataFrame, there: DataFrame, titles: DataFrame, config: PopulationConfig | None = None) -> DataFrame:
-    """Jobs back from the snapshot; later ones in the occupation itself, earlier ones under another of its titles."""
+def _numbered(rows: DataFrame, by: str, order: str, number: str, size: str) -> DataFrame:
+    """Rows numbered from 0 inside each group, with the group's size."""
+    return rows.withColumn(number, F.row_number().over(W.partitionBy(by).orderBy(order)) - 1).withColumn(size, F.count(F.lit(1)).over(W.partitionBy(by)))
+
+
+def job_history(people: DataFrame, there: DataFrame, titles: DataFrame, config: PopulationConfig | None = None, tasks: DataFrame | None = None) -> DataFrame:
+    """Jobs back from the snapshot: the last in the candidate's occupation, earlier ones in any of its major group (the
+    first two characters of its code). The evidence is one of the job's tasks (onet_soc_code, task), else a sentence."""
     from orrery.operators.relational import chained_spans
 
     config = config or PopulationConfig()
@@ -123,11 +129,20 @@ def job_history(people: DataFrame, there: DataFrame, titles: DataFrame, config:
     jobs = _items(people, there, "job_history", F.least(F.lit(4), 1 + poisson(uniform(config.seed, F.col("candidate_id"), "jobs"), 1.2)))
     jobs = jobs.withColumn("duration", whole(u("duration"), 365, 1460)).withColumn("gap", whole(u("gap"), 0, 120))
     jobs = chained_spans(jobs, "candidate_id", "n", "duration", "gap", config.snapshot_date)
-    named = titles.select("onet_soc_code", "job_title").distinct().withColumn("_t", F.row_number().over(W.partitionBy("onet_soc_code").orderBy("job_title")) - 1).withColumn("_of", F.count(F.lit(1)).over(W.partitionBy("onet_soc_code")))
-    of = named.groupBy("onet_soc_code").agg(F.max("_of").alias("_of"))
-    jobs = jobs.join(of.withColumnRenamed("onet_soc_code", "primary_onet_soc_code"), "primary_onet_soc_code").withColumn("_t", F.floor(u("title") * F.col("_of")))
-    jobs = jobs.join(named.drop("_of").withColumnRenamed("onet_soc_code", "primary_onet_soc_code"), ["primary_onet_soc_code", "_t"])
-    return jobs.select(F.concat(F.col("candidate_id"), T.numbered_id("_job_", F.col("n"), 2)).alias("job_history_id"), "candidate_id", F.col("primary_onet_soc_code").alias("onet_soc_code"), "job_title", "start_date", F.when(F.col("n") > 1, F.col("end_date")).alias("end_date"))
+    named = _numbered(titles.select("onet_soc_code", "job_title").distinct(), "onet_soc_code", "job_title", "_t", "_of")
+    codes = named.select("onet_soc_code").distinct().withColumn("_major", F.substring("onet_soc_code", 1, 2))
+    related = _numbered(codes, "_major", "onet_soc_code", "_c", "_codes").withColumnRenamed("onet_soc_code", "_related")
+    jobs = jobs.withColumn("_major", F.substring("primary_onet_soc_code", 1, 2)).join(related.select("_major", "_codes").distinct(), "_major")
+    jobs = jobs.withColumn("_c", F.floor(u("occupation") * F.col("_codes"))).join(related.drop("_codes"), ["_major", "_c"])
+    jobs = jobs.withColumn("onet_soc_code", F.when(F.col("n") == 1, F.col("primary_onet_soc_code")).otherwise(F.col("_related")))
+    jobs = jobs.join(named.select("onet_soc_code", "_of").distinct(), "onet_soc_code").withColumn("_t", F.floor(u("title") * F.col("_of")))
+    jobs = jobs.join(named.drop("_of"), ["onet_soc_code", "_t"]).withColumn("_task", F.lit(None).cast("string"))
+    if tasks is not None:
+        listed = _numbered(tasks.select("onet_soc_code", "task").where("task IS NOT NULL").distinct(), "onet_soc_code", "task", "_k", "_tasks")
+        jobs = jobs.drop("_task").join(listed.select("onet_soc_code", "_tasks").distinct(), "onet_soc_code", "left").withColumn("_k", F.floor(u("task") * F.col("_tasks")))
+        jobs = jobs.join(listed.select("onet_soc_code", "_k", F.col("task").alias("_task")), ["onet_soc_code", "_k"], "left")
+    evidence = F.coalesce("_task", F.concat(F.lit("Performed responsibilities related to "), "job_title", F.lit(".")))
+    return jobs.select(F.concat(F.col("candidate_id"), T.numbered_id("_job_", F.col("n"), 2)).alias("job_history_id"), "candidate_id", "onet_soc_code", "job_title", "start_date", F.when(F.col("n") > 1, F.col("end_date")).alias("end_date"), evidence.alias("description"))
 
 
 def _skilled(people: DataFrame, there: DataFrame, skills: DataFrame, source: str, rate: float, most: int, config: PopulationConfig) -> DataFrame:
@@ -158,7 +173,11 @@ def resumes(people: DataFrame, there: DataFrame, skills: DataFrame, config: Popu
 
 
 def self_reports(people: DataFrame, skills: DataFrame, catalog: DataFrame, config: PopulationConfig | None = None) -> DataFrame:
-    """Claims: most of true skills under the names people write, the rest noise from the catalog."""
+    """Claims: most of true skills under the names people write, the rest noise from the catalog; a candidate's claims have
+    one date."""
+    from orrery.operators.pairs import prime_from, scattered
+    from orrery.sources.tables import numbered
+
     config = config or PopulationConfig()
     seed = config.seed
     u = lambda name: uniform(seed, F.col("candidate_id"), name)
@@ -168,10 +187,13 @@ def self_reports(people: DataFrame, skills: DataFrame, catalog: DataFrame, confi
     asked = people.select("candidate_id", size.alias("_size"), noise.alias("_rate")).withColumn("_noise", F.bround(F.col("_size") * F.col("_rate")).cast("int"))
     true = skills.select("candidate_id", "skill_id", "skill_name", F.lit(True).alias("oracle_is_true_skill")).join(asked, "candidate_id")
     true = true.withColumn("_r", F.row_number().over(W.partitionBy("candidate_id").orderBy(uniform(seed, F.col("candidate_id"), F.col("skill_id"), "claim"), "skill_id"))).where("_r <= _size - _noise")
-    numbered = catalog.withColumn("_no", F.row_number().over(W.orderBy(F.xxhash64(F.lit(seed), "skill_id"), "skill_id")) - 1)
-    of = numbered.agg(F.max("_no").alias("_last"))
-    stride = asked.crossJoin(F.broadcast(of)).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_noise") + config.max_true_skills))).withColumn("_no", F.pmod(F.floor(u("start") * (F.col("_last") + 1)) + F.col("_i"), F.col("_last") + 1).cast("int"))
-    false = stride.dropDuplicates(["candidate_id", "_no"]).join(numbered, "_no").join(skills.select("candidate_id", "skill_id"), ["candidate_id", "skill_id"], "left_anti")
+    # noise: each candidate's own permutation of the catalog, as far as makes sure that enough are no true skills
+    catalog = numbered(catalog, "skill_id", "_no")
+    size = catalog.count()
+    prime = prime_from(size)
+    tries = F.least(F.lit(prime), F.col("_noise") + config.max_true_skills + prime - size)
+    drawn = asked.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), tries.cast("long")))).withColumn("_no", scattered(str(seed), F.col("candidate_id"), F.col("_i"), prime))
+    false = drawn.where(F.col("_i") < tries).join(catalog, "_no").join(skills.select("candidate_id", "skill_id"), ["candidate_id", "skill_id"], "left_anti")
     false = false.withColumn("_r", F.row_number().over(W.partitionBy("candidate_id").orderBy("_i"))).where("_r <= _noise").withColumn("oracle_is_true_skill", F.lit(False))
     cols = ["candidate_id", "skill_id", "skill_name", "oracle_is_true_skill"]
     claims = true.select(*cols).unionByName(false.select(*cols))
@@ -179,7 +201,8 @@ def self_reports(people: DataFrame, skills: DataFrame, catalog: DataFrame, confi
     written, kind = T.surface_name(F.col("skill_name"), [uniform(seed, F.col("candidate_id"), F.col("skill_id"), f"alias{i}") for i in range(4)])
     return claims.select(
         F.concat(F.col("candidate_id"), T.numbered_id("_claim_", F.col("_n"), 3)).alias("claim_id"), "candidate_id", written.alias("raw_skill_name"), F.col("skill_id").alias("canonical_skill_id"),
-        whole(uniform(seed, F.col("candidate_id"), F.col("skill_id"), "proficiency"), 2, 5).alias("reported_proficiency"), kind.alias("alias_type"), "oracle_is_true_skill",
+        whole(uniform(seed, F.col("candidate_id"), F.col("skill_id"), "proficiency"), 2, 5).alias("reported_proficiency"),
+        F.date_sub(F.lit(config.snapshot_date).cast("date"), whole(u("claimed"), 0, 1460)).alias("claimed_at"), kind.alias("alias_type"), "oracle_is_true_skill",
     )
 
 
@@ -194,12 +217,17 @@ def source_status(people: DataFrame, items: DataFrame, config: PopulationConfig
     return grid.withColumn("age_days", age).withColumn("is_available", F.col("item_count") > 0).withColumn("reliability_score", S.reliability(F.col("source"), F.col("age_days"), F.col("item_count")))
 
 
-def validate(people: DataFrame, truth: DataFrame, status: DataFrame, config: PopulationConfig) -> None:
-    """Raises unless keys, counts and ranges hold."""
+def validate(people: DataFrame, truth: DataFrame, status: DataFrame, config: PopulationConfig, owned: dict[str, tuple[DataFrame, str]] | None = None) -> None:
+    """Raises unless keys, counts and ranges hold; ``owned`` has tables of rows that belong to candidates, by name, with
+    their keys."""
     from orrery import contracts as C
 
+    rows = {}
+    for name, (frame, key) in (owned or {}).items():
+        rows |= {f"{name} key": C.duplicate_keys(frame, [key]), f"{name} candidates": C.orphans(frame, people, "candidate_id", "candidate_id")}
     C.require(
-        {
+        rows
+        | {
             "candidate count": people.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != config.n_candidates), "candidate key": C.duplicate_keys(people, ["candidate_id"]), "truth key": C.duplicate_keys(truth, ["candidate_id", "skill_id"]),
             "truth candidates": C.orphans(truth, people, "candidate_id", "candidate_id"), "status key": C.duplicate_keys(status, ["candidate_id", "source"]),
             "status grid": status.groupBy("candidate_id").count().where(F.col("count") != len(S.SOURCES)), "reliability range": C.outside(status, F.col("reliability_score").between(0, 1)), "proficiency range": C.outside(truth, F.col("proficiency").between(1, 5)),
@@ -221,14 +249,14 @@ class Population:
     status: DataFrame
 
 
-def generate(spark: SparkSession, config: PopulationConfig, occupations: DataFrame, titles: DataFrame, relations: DataFrame) -> Population:
+def generate(spark: SparkSession, config: PopulationConfig, occupations: DataFrame, titles: DataFrame, relations: DataFrame, tasks: DataFrame | None = None) -> Population:
     """All tables; relations has onet_soc_code, skill_id, skill_name and relevance_score."""
     people = candidates(spark, config, occupations.join(relations.select("onet_soc_code").distinct(), "onet_soc_code", "left_semi"))
     truth, there = true_skills(people, relations, config), availability(people, config)
-    jobs, work, study, texts = job_history(people, there, titles, config), projects(people, there, truth, config), courses(people, there, truth, config), resumes(people, there, truth, config)
+    jobs, work, study, texts = job_history(people, there, titles, config, tasks), projects(people, there, truth, config), courses(people, there, truth, config), resumes(people, there, truth, config)
     mine = there.where("source = 'self_reported_skills' AND is_available").select("candidate_id")
     claims = self_reports(people.join(mine, "candidate_id"), truth, relations.select("skill_id", "skill_name").distinct(), config)
     snap = F.lit(config.snapshot_date).cast("date")
     count = lambda f, source, when: f.groupBy("candidate_id").agg(F.lit(source).alias("source"), F.count(F.lit(1)).alias("item_count"), F.max(when).alias("updated_at"))
-    items = count(texts, "resume", "updated_at").unionByName(count(work, "projects", "completed_at")).unionByName(count(jobs, "job_history", snap)).unionByName(count(study, "courses", "completed_at")).unionByName(count(claims, "self_reported_skills", snap))
+    items = count(texts, "resume", "updated_at").unionByName(count(work, "projects", "completed_at")).unionByName(count(jobs, "job_history", snap)).unionByName(count(study, "courses", "completed_at")).unionByName(count(claims, "self_reported_skills", "claimed_at"))
     return Population(people, truth, texts, jobs, work, study, claims, source_status(people, items, config))

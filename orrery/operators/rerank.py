@@ -32,10 +32,13 @@ def train_popularity(catalog: DataFrame, train_truth: DataFrame, item: str = "it
 
 
 def gated_evidence(pool: DataFrame, towers: DataFrame, catalog: DataFrame, query: str = "query_id", item: str = "item_id") -> DataFrame:
-    """query, item, evidence_score: the sum over towers (query, source, v, gate_weight) of gate x cosine."""
+    """query, item, evidence_score: the sum over towers (query, source, v, gate_weight) of gate x cosine. Raises if a row
+    of the pool has no tower or no vector."""
     t = towers.select(query, l2_normalize(F.col("v")).alias("_t"), "gate_weight")
-    scored = pool.select(query, item).join(t, query).join(catalog.select(item, l2_normalize(F.col("v")).alias("_i")), item)
-    return scored.groupBy(query, item).agg(F.sum(F.col("gate_weight") * dot(F.col("_t"), F.col("_i"))).alias("evidence_score"))
+    scored = pool.select(query, item).join(t, query, "left").join(catalog.select(item, l2_normalize(F.col("v")).alias("_i")), item, "left")
+    lost = F.col("_t").isNull() | F.col("_i").isNull() | F.col("gate_weight").isNull()
+    part = F.when(lost, F.raise_error(F.lit("a row of the pool has no gate or vector")).cast("double")).otherwise(F.col("gate_weight") * dot(F.col("_t"), F.col("_i")))
+    return scored.groupBy(query, item).agg(F.sum(part).alias("evidence_score"))
 
 
 def grid(evidence: tuple[float, ...], popularity: tuple[float, ...], diversity: tuple[float, ...]) -> list[tuple[int, float, float, float]]:

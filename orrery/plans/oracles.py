@@ -19,7 +19,7 @@ def metric(pred: str, cuts: str = "5, 10, 30", name: str = "m") -> str:
 
 
 AVG = ", ".join(f"round(avg({m}), 6) AS {m}" for m in ("precision", "recall", "ndcg", "hit_rate", "mrr"))
-CELLS = """cells AS (SELECT user_id, event_type AS source, count(*) AS n, max(ts) AS upd FROM events WHERE ts >= TIMESTAMP '2024-01-24' GROUP BY ALL),
+CELLS = """cells AS (SELECT user_id, event_type AS source, count(*) AS n, max(ts) AS upd FROM events GROUP BY ALL),
 g AS (SELECT u.user_id, x.source, coalesce(n, 0)::BIGINT AS item_count, date_diff('day', upd::DATE, DATE '2024-02-01')::INTEGER AS age_days, base, half FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN
   (VALUES ('click', 0.90::DOUBLE, 15::DOUBLE), ('error', 0.82::DOUBLE, 12::DOUBLE), ('purchase', 0.88::DOUBLE, 10::DOUBLE), ('signup', 0.72::DOUBLE, 7::DOUBLE), ('view', 0.65::DOUBLE, 5::DOUBLE)) x(source, base, half) LEFT JOIN cells USING (user_id, source)),
 r AS (SELECT *, CASE WHEN item_count = 0 THEN 0 ELSE round(least(1, base * exp(-greatest(coalesce(age_days, 0), 0) / half) * CASE WHEN source = 'view' AND item_count > 3 THEN 1 / (1 + 0.35::DOUBLE * ln(1 + item_count - 3)) ELSE 1 END), 4) END AS reliability_score,
@@ -87,9 +87,9 @@ p AS (SELECT * FROM (SELECT strategy, query_id, item_id, row_number() OVER (PART
 pa AS (SELECT * FROM p WHERE strategy = 'uniform_mean'), pb AS (SELECT * FROM p WHERE strategy <> 'uniform_mean'), {metric('pa', '5, 10', 'a')}, {metric('pb', '5, 10', 'b')}
 SELECT 'uniform_mean' AS strategy, k, count(*)::BIGINT AS queries, {AVG} FROM a GROUP BY ALL UNION ALL SELECT 'reliability_weighted', k, count(*)::BIGINT, {AVG} FROM b GROUP BY ALL""",
     "l2_normalized": """WITH x AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda z: z * (vec_id % 7)) AS v FROM embeddings), y AS (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM x)
-SELECT vec_id, round(n, 6) AS norm_before, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0 END AS norm_after, round(CASE WHEN n > 0 THEN v[1] / n ELSE 0 END, 6) AS first_value FROM y""",
-    "uniform_tower_mean": f"WITH {vec('x', 'vec_id % 3 <> 0', False)} SELECT candidate_id, pos::INTEGER AS pos, round(v, 6) AS value FROM m WHERE pos < 8",
-    "reliability_weighted_fusion": f"WITH {vec('x', 'true', True)} SELECT candidate_id, pos::INTEGER AS pos, round(v / n, 6) AS value FROM (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY candidate_id)) AS n FROM m) WHERE pos < 8",
+SELECT vec_id, round(n, 6) AS norm_before, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0 END AS norm_after, unnest(range(0, len(v)))::INTEGER AS pos, round(unnest(list_transform(v, lambda z: CASE WHEN n > 0 THEN z / n ELSE 0 END)), 6) AS value FROM y""",
+    "uniform_tower_mean": f"WITH {vec('x', 'vec_id % 3 <> 0', False)} SELECT candidate_id, pos::INTEGER AS pos, round(v, 6) AS value FROM m",
+    "reliability_weighted_fusion": f"WITH {vec('x', 'true', True)} SELECT candidate_id, pos::INTEGER AS pos, round(v / n, 6) AS value FROM (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY candidate_id)) AS n FROM m)",
     "vector_profile": "WITH x AS (SELECT sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings) SELECT count(*)::BIGINT AS vectors, round(min(n), 6) AS min_norm, round(avg(n), 6) AS mean_norm, round(max(n), 6) AS max_norm, round(avg((n = 0)::INT), 6) AS zero_rate FROM x",
     "reliability_score": f"WITH {CELLS} SELECT user_id, source, item_count, coalesce(age_days, -1) AS age_days, round(reliability_score, 6) AS reliability_score FROM r",
     "source_grid_missing": f"WITH {CELLS} SELECT source, count(*)::BIGINT AS cells, sum((item_count = 0)::INT)::BIGINT AS missing FROM r GROUP BY ALL",
@@ -108,7 +108,7 @@ SELECT doc_id, length(c)::INTEGER AS characters, ends_with(c, ' …') AS is_cut,
 x AS (SELECT *, CASE WHEN NOT av THEN '' WHEN length(t) <= 1500 THEN t ELSE rtrim(CASE WHEN contains(h, ' ') THEN left(h, length(h) - strpos(reverse(h), ' ')) ELSE h END, ' ,;:-') || ' …' END AS c FROM a)
 SELECT doc_id, av AS is_available, length(c)::INTEGER AS character_count, ({TOK.format(x='c')})::INTEGER AS token_count, round(ln(1 + items), 6) AS log1p_item_count, CASE WHEN av THEN 0.5::DOUBLE ELSE 0 END AS reliability_score, av AND age > 730 AS is_stale, av AND items > 40 AS is_high_volume FROM x""",
     "stable_item_id": f"""WITH f AS (SELECT p_partkey, trim({_NO.format(x='p_name')}) AS f FROM part), s AS (SELECT *, left(trim(regexp_replace(f, '[^a-z0-9]+', '-', 'g'), '-'), 40) AS s FROM f)
-SELECT p_partkey, 'software:' || CASE WHEN s = '' THEN 'software' ELSE s END || '-' || left(sha256(f), 10) AS item_id FROM s""",
+SELECT p_partkey, 'software:' || CASE WHEN s = '' THEN 'software' ELSE s END || ':' || left(sha256(f), 10) AS item_id FROM s""",
     "surface_aliases": """WITH n AS (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(left(x, 1)) || lower(substr(x, 2))), ' ') AS name FROM part),
 k AS (SELECT *, CASE WHEN starts_with(lower(name), 'microsoft ') AND (p_partkey * 13) % 100 / 100.0 < 0.35 THEN 'vendor_shortened' WHEN (p_partkey * 29) % 100 / 100.0 < 0.12 THEN 'case_variant' WHEN contains(lower(name), ' and ') AND (p_partkey * 31) % 100 / 100.0 < 0.12 THEN 'symbol_variant' ELSE 'canonical' END AS alias_type FROM n)
 SELECT p_partkey, CASE alias_type WHEN 'case_variant' THEN lower(name) WHEN 'symbol_variant' THEN replace(name, ' and ', ' & ') ELSE name END AS surface_name, alias_type FROM k""",
@@ -123,7 +123,8 @@ SELECT l_partkey, max(l_quantity) FILTER (l_returnflag = 'A') AS importance, max
     "open_interval_ordering": "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'F' THEN o_orderdate END DESC NULLS FIRST, o_orderdate DESC NULLS LAST, o_orderkey)::INTEGER AS position FROM orders",
     "job_chain": """WITH x AS (SELECT o_orderkey, 365 + o_orderkey % 1096 AS d, coalesce(sum(365 + o_orderkey % 1096 + o_orderkey % 121) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS past FROM orders)
 SELECT o_orderkey, strftime(DATE '2024-02-01' - past - d::INTEGER, '%Y-%m-%d') AS started, strftime(DATE '2024-02-01' - past, '%Y-%m-%d') AS ended FROM x""",
-    "left_one_to_one": "SELECT c_custkey, c_nationkey AS nationkey, n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 4 <> 0) ON c_nationkey = n_nationkey",
+    "left_one_to_one": "SELECT c_nationkey AS nationkey, customers, n_name FROM (SELECT c_nationkey, count(*)::BIGINT AS customers FROM customer GROUP BY ALL) LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 4 <> 0) ON c_nationkey = n_nationkey",
+    "left_many_to_one": "SELECT c_custkey, c_nationkey AS nationkey, n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 4 <> 0) ON c_nationkey = n_nationkey",
     "semi_flag_columns": "SELECT c_custkey AS key, c_custkey IN (SELECT o_custkey FROM orders) AS has_orders, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000) AS has_large_orders FROM customer",
     "fk_violations_anti": "SELECT DISTINCT l_orderkey AS key FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 3)",
     "pk_violations": "SELECT l_orderkey, l_linenumber, count(*)::BIGINT AS rows FROM lineitem GROUP BY ALL HAVING count(*) > 1",
@@ -135,7 +136,14 @@ SELECT occupation, row_number() OVER (PARTITION BY occupation ORDER BY score DES
     "positive_pair_weights": f"WITH {V} SELECT query_id, item_id, {SPLIT.format(x='query_id')} AS split, round(greatest(0.1, least(1, 0.7::DOUBLE * rel + 0.3::DOUBLE * prof / 5)), 6) AS sample_weight FROM tr WHERE {SPLIT.format(x='query_id')} <> 'test'",
     "hard_negatives": f"WITH {P} SELECT query_id, item_id, rank::INTEGER AS retrieval_rank, round(score, 6) AS retrieval_score FROM p ANTI JOIN tr USING (query_id, item_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 15",
     "random_negatives": f"""WITH {P}, h AS (SELECT query_id, item_id FROM p ANTI JOIN tr USING (query_id, item_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 15),
-o AS (SELECT query_id, item_id FROM q CROSS JOIN c ANTI JOIN tr USING (query_id, item_id) ANTI JOIN h USING (query_id, item_id)) SELECT query_id, item_id FROM o QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY md5('orrery|' || query_id || '|' || item_id), item_id) <= 10""",
+taken AS (SELECT query_id, item_id FROM tr UNION SELECT query_id, item_id FROM h), size AS (SELECT count(*) AS n FROM c),
+prime AS (SELECT min(x) AS m FROM (SELECT unnest(range(greatest(n, 2), 2 * n + 3)) AS x FROM size) WHERE len(list_filter(range(2, floor(sqrt(x))::BIGINT + 1), lambda d: x % d = 0)) = 0),
+draw AS (SELECT query_id, m, n, 1 + ('0x' || left(md5('orrery|slope|' || query_id), 8))::BIGINT % (m - 1) AS slope, ('0x' || left(md5('orrery|start|' || query_id), 8))::BIGINT % m AS start FROM q, prime, size),
+held AS (SELECT query_id, count(*) AS held FROM taken GROUP BY ALL),
+tries AS (SELECT query_id, m, slope, start, unnest(range(0, least(m, coalesce(held, 0) + 10 + m - n))) AS o FROM draw LEFT JOIN held USING (query_id)),
+number AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS place FROM c),
+free AS (SELECT query_id, item_id, o FROM tries JOIN number ON place = (slope * o + start) % m ANTI JOIN taken USING (query_id, item_id))
+SELECT query_id, item_id FROM free QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY o) <= 10""",
     "pair_count_index": f"""WITH {P}, h AS (SELECT query_id FROM (SELECT * FROM p WHERE rank <= 30) ANTI JOIN tr USING (query_id, item_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 15)
 SELECT query_id, (SELECT count(*) FROM tr WHERE tr.query_id = q.query_id AND rel > 0.9)::BIGINT AS positive_count, (SELECT count(*) FROM h WHERE h.query_id = q.query_id)::BIGINT AS negative_count FROM q""",
     "rrf_channel_fusion": f"WITH {CH} SELECT query_id, item_id, round(rrf, 6) AS rrf_score, round(ls, 6) AS learned_score, round(os, 6) AS occupation_score, round(bs, 6) AS best_tower_score, coalesce(lr, 0)::INTEGER AS learned_rank, coalesce(orank, 0)::INTEGER AS occupation_rank, coalesce(br, 0)::INTEGER AS best_tower_rank, hits::BIGINT AS tower_hit_count, n::BIGINT AS channel_count FROM fu",

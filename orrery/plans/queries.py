@@ -14,7 +14,7 @@ from orrery.functions import scoring as S, text as T
 from orrery.functions.vectors import l2_normalize, mean_vector, norm
 from orrery.operators import audit, features, fusion, hybrid, metrics, pairs, profile, relational as R, rerank, retrieval
 
-SNAPSHOT, SINCE, CUTOFFS, TOP = "2024-02-01", "2024-01-24", (5, 10, 30), 30
+SNAPSHOT, CUTOFFS, TOP = "2024-02-01", (5, 10, 30), 30
 #: Trust and half life in days of the event types.
 TRUST = {"click": (0.90, 15), "error": (0.82, 12), "purchase": (0.88, 10), "signup": (0.72, 7), "view": (0.65, 5)}
 TYPES = tuple(TRUST)
@@ -116,7 +116,9 @@ def ann_neighbor_recall(spark, sf):
 def l2_normalized(spark, sf):
     v = F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 7))
     e = t(spark, sf, "embeddings").select("vec_id", v.alias("v"))
-    return e.select("vec_id", F.round(norm(F.col("v")), 6).alias("norm_before"), F.round(norm(l2_normalize(F.col("v"))), 6).alias("norm_after"), F.round(l2_normalize(F.col("v"))[0], 6).alias("first_value"))
+    unit = l2_normalize(F.col("v"))
+    e = e.select("vec_id", F.round(norm(F.col("v")), 6).alias("norm_before"), F.round(norm(unit), 6).alias("norm_after"), F.posexplode(unit).alias("pos", "x"))
+    return e.select("vec_id", "norm_before", "norm_after", "pos", F.round("x", 6).alias("value"))
 
 
 def _towers(spark, sf):
@@ -126,12 +128,12 @@ def _towers(spark, sf):
 
 def uniform_tower_mean(spark, sf):
     m = mean_vector(_towers(spark, sf).where("is_available"), ["candidate_id"], "v")
-    return m.select("candidate_id", F.posexplode("v").alias("pos", "x")).where("pos < 8").select("candidate_id", "pos", F.round("x", 6).alias("value"))
+    return m.select("candidate_id", F.posexplode("v").alias("pos", "x")).select("candidate_id", "pos", F.round("x", 6).alias("value"))
 
 
 def reliability_weighted_fusion(spark, sf):
     m = fusion.reliability_fusion(_towers(spark, sf), ["candidate_id"])
-    return m.select("candidate_id", F.posexplode("v").alias("pos", "x")).where("pos < 8").select("candidate_id", "pos", F.round("x", 6).alias("value"))
+    return m.select("candidate_id", F.posexplode("v").alias("pos", "x")).select("candidate_id", "pos", F.round("x", 6).alias("value"))
 
 
 def vector_profile(spark, sf):
@@ -143,13 +145,13 @@ def vector_profile(spark, sf):
 # -- sources, reliability and text features
 
 
-def _cells(spark, sf, since: str = "2024-01-01"):
-    e = t(spark, sf, "events").where(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
+def _cells(spark, sf):
+    e = t(spark, sf, "events")
     return e.groupBy("user_id", F.col("event_type").alias("source")).agg(F.count(F.lit(1)).alias("item_count"), F.max("ts").alias("updated_at")).withColumn("age_days", T.age_days(F.col("updated_at"), SNAPSHOT))
 
 
-def _scored(spark, sf, since: str = SINCE):
-    grid = R.complete_grid(t(spark, sf, "events"), list(TYPES), _cells(spark, sf, since), "user_id", "source")
+def _scored(spark, sf):
+    grid = R.complete_grid(t(spark, sf, "events"), list(TYPES), _cells(spark, sf), "user_id", "source")
     grid = grid.withColumn("item_count", F.coalesce("item_count", F.lit(0)))
     return grid.withColumn("reliability_score", S.reliability(F.col("source"), F.col("age_days"), F.col("item_count"), TRUST, "view", 3))
 
@@ -263,6 +265,12 @@ def job_chain(spark, sf):
 
 
 def left_one_to_one(spark, sf):
+    people = t(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nationkey")).agg(F.count(F.lit(1)).alias("customers"))
+    n = t(spark, sf, "nation").select(F.col("n_nationkey").alias("nationkey"), "n_name").where("nationkey % 4 <> 0")
+    return R.left_validated(people, n, ["nationkey"]).select("nationkey", "customers", "n_name")
+
+
+def left_many_to_one(spark, sf):
     c = t(spark, sf, "customer").select(F.col("c_nationkey").alias("nationkey"), "c_custkey")
     n = t(spark, sf, "nation").select(F.col("n_nationkey").alias("nationkey"), "n_name").where("nationkey % 4 <> 0")
     return R.left_validated(c, n, ["nationkey"], one_to_one=False).select("c_custkey", "nationkey", "n_name")
@@ -329,7 +337,7 @@ def hard_negatives(spark, sf):
 def random_negatives(spark, sf):
     q, i = vectors(spark, sf)
     taken = truth(spark, sf).select("query_id", "item_id").unionByName(pairs.hard_negatives(predictions(spark, sf, 100), truth(spark, sf), 15).select("query_id", "item_id"))
-    return pairs.random_negatives(q, i, taken, 10, "orrery", buckets=1).select("query_id", "item_id")
+    return pairs.random_negatives(q, i, taken, 10, "orrery").select("query_id", "item_id")
 
 
 def pair_count_index(spark, sf):
@@ -528,7 +536,7 @@ QUERIES = {f.__name__: f for f in (
     exact_cosine_topk, cosine_topk_native, ranking_metrics_per_query, ranking_metrics_overall, metrics_by_coverage_bucket, catalog_coverage_at_k, baseline_lift, strategy_comparison, ann_neighbor_recall,
     l2_normalized, uniform_tower_mean, reliability_weighted_fusion, vector_profile, reliability_score, source_grid_missing, stale_high_volume_flags, quality_vector, init_gate_weights, golden_ratio_split,
     tower_text_assembly, text_normalize, text_truncate, tower_features, stable_item_id, surface_aliases, month_year_parse, rated_pivot, first_non_null_metadata, join_unique_categories, titles_dedupe_first,
-    latest_record_per_entity, open_interval_ordering, job_chain, left_one_to_one, semi_flag_columns, fk_violations_anti, pk_violations, union_fixed_schema, suppressed_flags, relevance_score, occupation_rank_topk,
+    latest_record_per_entity, open_interval_ordering, job_chain, left_one_to_one, left_many_to_one, semi_flag_columns, fk_violations_anti, pk_violations, union_fixed_schema, suppressed_flags, relevance_score, occupation_rank_topk,
     positive_pair_weights, hard_negatives, random_negatives, pair_count_index, rrf_channel_fusion, tiered_pool_fill, pool_stage_metrics, train_popularity, gated_evidence, minmax_static_rerank, mmr_rerank,
     trial_selection, coverage_summary, coverage_by_type, prediction_frequency, audit_decision, rank_completeness_check, contract_summary, quantile_profile, missing_rate_profile, value_count_shares,
     duplicate_profile, split_pivot_profile, random_recall_reference, text_embeddings, synthetic_population, population_claims, learned_fusion,

@@ -46,8 +46,10 @@ def generate(spark: SparkSession, source: str, target: str, settings: S.Populati
     jobs, titles, relations = _read(spark, source, "occupations", "job_titles", "occupation_skills")
     strength = scoring.relevance(*(F.col(c) for c in ("importance", "level", "hot_technology", "in_demand", "not_relevant")), F.col("skill_type") == "software")
     scored = relations.withColumn("relevance_score", strength)
-    p = population.generate(spark, settings, jobs.select("onet_soc_code"), titles, scored)
-    population.validate(p.candidates, p.truth, p.status, settings)
+    tasks = _read(spark, source, "tasks")[0] if tables.exists(spark, f"{source}/tasks.parquet") else None
+    p = population.generate(spark, settings, jobs.select("onet_soc_code"), titles, scored, tasks)
+    owned = {"resumes": (p.resumes, "resume_id"), "job_history": (p.job_history, "job_history_id"), "projects": (p.projects, "project_id"), "courses": (p.courses, "course_id"), "self_reported_skills": (p.claims, "claim_id")}
+    population.validate(p.candidates, p.truth, p.status, settings, owned)
     out = {"candidates": p.candidates, "resumes": p.resumes, "job_history": p.job_history, "projects": p.projects, "courses": p.courses, "self_reported_skills": p.claims, "candidate_skill_truth": p.truth, "source_status": p.status}
     return _write(target, "population", settings, out, {"occupations": jobs, "occupation_skills": relations})
 
@@ -55,17 +57,15 @@ def generate(spark: SparkSession, source: str, target: str, settings: S.Populati
 def build_features(spark: SparkSession, source: str, target: str, settings: S.FeatureConfig) -> dict:
     """Tower texts and quality features; hidden ids and oracle columns never enter a text."""
     people, resumes, jobs, work, study, claims, status, skills = _read(spark, source, "candidates", "resumes", "job_history", "projects", "courses", "self_reported_skills", "source_status", "skills")
-    day = T.date_label
     last = resumes.withColumn("_n", F.row_number().over(W.partitionBy("candidate_id").orderBy(F.col("updated_at").desc_nulls_last(), "resume_id"))).where("_n = 1")
-    span = F.concat(F.col("job_title"), F.lit(" ("), day(F.col("start_date")), F.lit(" to "), day(F.col("end_date"), "present"), F.lit(")"))
-    far = F.coalesce(F.col("end_date").cast("timestamp"), F.lit("9999-12-31").cast("timestamp"))
-    back = lambda c: -F.unix_timestamp(c.cast("timestamp"))
+    until = F.coalesce(F.col("end_date").cast("timestamp"), F.lit("9999-12-31").cast("timestamp"))
+    col = F.col
     parts = {
-        "resume": features.assembled_text(last, "candidate_id", [F.col("resume_id")], F.col("resume_text")),
-        "job_history": features.assembled_text(jobs, "candidate_id", [back(far), back(F.col("start_date")), F.col("job_history_id")], span),
-        "projects": features.assembled_text(work, "candidate_id", [back(F.col("completed_at")), F.col("project_id")], F.concat("project_title", F.lit(": "), "description")),
-        "courses": features.assembled_text(study, "candidate_id", [back(F.col("completed_at")), F.col("course_id")], F.concat("course_name", F.lit(" ("), day(F.col("completed_at")), F.lit(")"))),
-        "self_reported_skills": features.assembled_text(claims, "candidate_id", [F.col("claim_id")], F.concat("raw_skill_name", F.lit(" (level "), "reported_proficiency", F.lit(")"))),
+        "resume": features.assembled_text(last, "candidate_id", [col("resume_id")], col("resume_text")),
+        "job_history": features.assembled_text(jobs, "candidate_id", [until, col("start_date"), col("job_history_id")], T.job_line(col("job_title"), col("start_date"), col("end_date"), col("description")), newest_first=True),
+        "projects": features.assembled_text(work, "candidate_id", [col("completed_at"), col("project_id")], T.project_line(col("project_title"), col("completed_at"), col("description")), newest_first=True),
+        "courses": features.assembled_text(study, "candidate_id", [col("completed_at"), col("course_id")], T.course_line(col("course_name"), col("completed_at")), newest_first=True),
+        "self_reported_skills": features.assembled_text(claims, "candidate_id", [col("claimed_at"), col("claim_id")], T.claim_line(col("raw_skill_name"), col("reported_proficiency")), newest_first=True),
     }
     texts = None
     for source_name, frame in parts.items():
@@ -77,7 +77,9 @@ def build_features(spark: SparkSession, source: str, target: str, settings: S.Fe
     index = people.select("candidate_id", "primary_onet_soc_code", "years_experience", "split", "taxonomy_version")
     C.require(
         {
-            "tower key": C.duplicate_keys(towers, ["candidate_id", "source"]), "five sources": towers.groupBy("candidate_id").count().where(F.col("count") != len(scoring.SOURCES)),
+            "tower key": C.duplicate_keys(towers, ["candidate_id", "source"]), "five sources": towers.groupBy("candidate_id").agg(F.sort_array(F.collect_set("source")).alias("found")).where(F.col("found") != F.array(*map(F.lit, sorted(scoring.SOURCES)))),
+            "text budget": towers.where(F.col("character_count") > F.coalesce(*(F.when(F.col("source") == k, F.lit(v + 2)) for k, v in settings.limits().items()))), "no hidden columns": towers.limit(1 if {"canonical_skill_id", "oracle_is_true_skill", "skill_id"} & set(towers.columns) else 0),
+            "one row a skill": C.duplicate_keys(catalog, ["skill_id"]), "skills as given": C.both_or_neither(catalog, skills, "skill_id"),
             "missing towers are empty": C.outside(towers, F.col("is_available") | (F.col("tower_text") == "") & (F.col("reliability_score") == 0)), "present towers have text": C.outside(towers, ~F.col("is_available") | (F.col("tower_text") != "")),
         }
     )
@@ -115,7 +117,7 @@ def mine_pairs(spark: SparkSession, source: str, target: str, settings: S.PairCo
     good, hard = pairs.positives(known, settings.splits), pairs.hard_negatives(top, known, settings.hard_negatives)
     random = pairs.random_negatives(asked, items, known.select("query_id", "item_id").unionByName(hard.select("query_id", "item_id")), settings.random_negatives, str(settings.seed))
     bad = hard.unionByName(random, allowMissingColumns=True)
-    C.require({"positives and negatives are apart": good.select("query_id", "item_id").intersect(bad.select("query_id", "item_id"))})
+    C.require({"positives and negatives are apart": good.select("query_id", "item_id").intersect(bad.select("query_id", "item_id")), "hard negatives": C.short_groups(asked, hard, "query_id", settings.hard_negatives)})
     index = pairs.pair_counts(asked.select("query_id", "split"), good, bad)
     return _write(target, "pairs", settings, {"positive_pairs": _named(good), "negative_pairs": _named(bad), "training_candidate_index": _named(index)}, {"candidates": people, "skills": items, "truth": truth}, {"sealed_rows": good.where("split = 'test'").count()})
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
@@ -20,7 +20,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def load_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
     """Parquet tables of a folder in any file system; names all that are missing in one error."""
     paths = {n: f"{folder}/{n}.parquet" for n in names}
-    missing = [p for p in paths.values() if not _exists(spark, p)]
+    missing = [p for p in paths.values() if not exists(spark, p)]
     if missing:
         raise FileNotFoundError("missing tables: " + ", ".join(missing))
     return {n: spark.read.parquet(p) for n, p in paths.items()}
@@ -29,7 +29,7 @@ def load_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str,
 def read_source(spark: SparkSession, path: str) -> DataFrame:
     """One required table: Parquet, CSV with a header, or the first sheet of a workbook (read on the driver, which needs
     openpyxl)."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         raise FileNotFoundError(f"missing source: {path}")
     if path.endswith(".parquet"):
         return spark.read.parquet(path)

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import pytest
@@ -30,11 +31,21 @@ def test_truncation_stays_near_the_limit(spark):
 
 def test_stable_ids(spark):
     a, b = (one(spark, T.stable_id(F.col("t")), t=t) for t in ("Straße  C++", "STRASSE c++"))
-    assert a == b and a.startswith("software:strasse-c-")
-    assert one(spark, T.stable_id(F.col("t")), t="日本").startswith("software:software-")
+    assert a == b and a.startswith("software:strasse-c:")
+    assert one(spark, T.stable_id(F.col("t")), t="日本").startswith("software:software:")
+    assert one(spark, T.stable_id(F.col("t")), t=" Microsoft  Excel ") == "software:microsoft-excel:" + hashlib.sha256(b"microsoft excel").hexdigest()[:10]
     assert one(spark, T.stable_id(F.col("t")), t="C") != one(spark, T.stable_id(F.col("t")), t="C#")
 
 
+def test_lines_of_evidence(spark):
+    line = lambda c, **row: one(spark, c, **row)
+    day, none = F.lit("2021-03-04").cast("date"), F.lit(None).cast("date")
+    assert line(T.job_line(F.col("t"), day, none, F.lit(" built  it ")), t="Lead  dev") == "Role: Lead dev. Dates: 2021-03-04 to present. Evidence: built it"
+    assert line(T.project_line(F.col("t"), none, F.lit("x")), t="P") == "Project: P. Completed: unknown. Evidence: x"
+    assert line(T.course_line(F.col("t"), day), t="C") == "Course: C. Completed: 2021-03-04."
+    assert line(T.claim_line(F.col("t"), F.lit(3.0)), t="S") == "Claimed skill: S; level: 3." and line(T.claim_line(F.col("t"), F.lit(None)), t="S").endswith("level: unknown.")
+
+
 def test_dates(spark):
     assert one(spark, T.date_label(T.month_year(F.col("t"))), t="07/2021") == "2021-07-01"
     assert one(spark, T.date_label(T.month_year(F.col("t"))), t="13/2021") == "unknown"

@@ -103,6 +103,31 @@ def test_pairs(spark):
     assert sorted(drawn.collect()) == sorted(pairs.random_negatives(asked.repartition(3), items, t, 5, "s").collect())
 
 
+def test_random_negatives_find_the_last_free_items(spark):
+    items = spark.range(1000).select(F.col("id").cast("int").alias("item_id"))
+    asked = frame(spark, "query_id int", (1,), (2,), (3,))
+    taken = asked.where("query_id < 3").crossJoin(items).where("item_id >= 20 OR query_id = 2 AND item_id >= 10")
+    drawn = pairs.random_negatives(asked, items, taken, 10, "s")
+    got = {r["query_id"]: sorted(r["items"]) for r in drawn.groupBy("query_id").agg(F.collect_set("item_id").alias("items")).collect()}
+    assert {q: len(x) for q, x in got.items()} == {1: 10, 2: 10, 3: 10} and got[2] == list(range(10)) and max(got[1]) < 20
+    with pytest.raises(Exception, match="too few items"):
+        pairs.random_negatives(asked, items, taken, 11, "s").collect()
+    assert [pairs.prime_from(n) for n in (0, 1, 2, 3, 4, 90, 1000)] == [2, 2, 2, 3, 5, 97, 1009]
+
+
+def test_newest_evidence_comes_first_and_undated_last(spark):
+    rows = frame(spark, "k int, day string, id string, line string", (1, "2020", "a", "old"), (1, None, "b", "undated"), (1, "2022", "c", "new"), (1, "2022", "d", "newer id"))
+    got = features.assembled_text(rows, "k", [F.col("day"), F.col("id")], F.col("line"), newest_first=True).first()
+    assert got["tower_text"] == "newer id new old undated"
+
+
+def test_evidence_needs_every_gate_and_vector(spark):
+    pool, towers, items = frame(spark, "query_id int, item_id int", (1, 1), (1, 2)), frame(spark, "query_id int, v array<double>, gate_weight double", (1, [1.0, 0.0], 1.0)), frame(spark, "item_id int, v array<double>", (1, [2.0, 0.0]))
+    assert rerank.gated_evidence(pool.where("item_id = 1"), towers, items).first()["evidence_score"] == 1.0
+    with pytest.raises(Exception, match="no gate or vector"):
+        rerank.gated_evidence(pool, towers, items).collect()
+
+
 def test_pools_keep_the_head_and_fill_up(spark):
     learned = frame(spark, "query_id int, item_id int, rank int, score double", (1, 10, 1, 0.9), (1, 11, 2, 0.8), (1, 12, 3, 0.1))
     towers = frame(spark, "query_id int, item_id int, tower_order int, reliability double, rank int, score double", (1, 13, 0, 1.0, 1, 0.7), (1, 13, 1, 1.0, 1, 0.6), (1, 12, 0, 0.5, 2, 0.3))
