@@ -50,8 +50,9 @@ def reliability(source: Column, age: Column, items: Column, trust: dict[str, tup
     return F.when(items == 0, F.lit(0.0)).otherwise(F.round(clip(base * fresh * volume, 0, 1), 4))
 
 
-def sample_weight(strength: Column, proficiency: Column) -> Column:
-    return clip(0.7 * clip(strength, 0, 1) + 0.3 * clip(proficiency.cast("double"), 1, 5) / 5, 0.1, 1.0)
+def sample_weight(strength: Column, proficiency: Column, parts: tuple[float, float, float] = (0.7, 0.3, 0.1)) -> Column:
+    """parts: the weights of strength and proficiency, and the least result."""
+    return clip(parts[0] * clip(strength, 0, 1) + parts[1] * clip(proficiency.cast("double"), 1, 5) / 5, parts[2], 1.0)
 
 
 def quality_vector(available: Column, trust: Column, age: Column, items: Column, stale: Column, crowded: Column, stale_days: float = 730, volume_scale: float = 40) -> Column:

@@ -90,21 +90,23 @@ class GatedFusion:
         out = self._forward(towers, quality, available)
         return out["y"], out["g"]
 
-    def _forward(self, x: np.ndarray, quality: np.ndarray, available: np.ndarray) -> dict[str, np.ndarray]:
+    def _forward(self, x: np.ndarray, quality: np.ndarray, available: np.ndarray, kept: np.ndarray | float = 1.0) -> dict[str, np.ndarray]:
+        """kept: what dropout leaves of the gates' hidden units, with its scale."""
         p = self.parameters
         t, tn = _unit(np.einsum("bsi,soi->bso", x, p["shared"] + p["residual"]))
         f = np.concatenate([quality, np.broadcast_to(np.eye(self.sources), (len(x), self.sources, self.sources))], 2)
         a = f @ p["gate_in"].T + p["gate_bias"]
         cdf = 0.5 * (1 + np.tanh(np.sqrt(2 / np.pi) * (a + 0.044715 * a**3)))
-        logit = np.where(available, np.log(np.maximum(quality[..., 0], 1e-6)) + (a * cdf) @ p["gate_out"] + p["gate_last"], -np.inf)
+        logit = np.where(available, np.log(np.maximum(quality[..., 0], 1e-6)) + (a * cdf * kept) @ p["gate_out"] + p["gate_last"], -np.inf)
         g = np.exp(logit - logit.max(1, keepdims=True))
         g /= g.sum(1, keepdims=True)
         y, yn = _unit((g[..., None] * t).sum(1))
         return {"t": t, "tn": tn, "f": f, "a": a, "cdf": cdf, "g": g, "y": y, "yn": yn}
 
-    def step(self, x: np.ndarray, quality: np.ndarray, available: np.ndarray, positive: np.ndarray, negative: np.ndarray, weights: np.ndarray, temperature: float) -> tuple[float, dict[str, np.ndarray]]:
+    def step(self, x: np.ndarray, quality: np.ndarray, available: np.ndarray, positive: np.ndarray, negative: np.ndarray, weights: np.ndarray, temperature: float, dropout: float = 0.0, draws: np.random.Generator | None = None) -> tuple[float, dict[str, np.ndarray]]:
         """Loss and slopes of one batch; positive and negative are raw item vectors."""
-        p, s = self.parameters, self._forward(x, quality, available)
+        kept = (draws.random((*quality.shape[:2], self.hidden)) >= dropout) / (1 - dropout) if dropout else 1.0
+        p, s = self.parameters, self._forward(x, quality, available, kept)
         raw = np.concatenate([positive[:, None], negative], 1)
         items, n = _unit(raw @ p["items"].T)
         loss, dz = contrastive_loss(s["y"], items[:, 0], items[:, 1:], weights, temperature)
@@ -114,26 +116,27 @@ class GatedFusion:
         dt = _unit_slope(s["t"], s["tn"], dt)
         residual = np.einsum("bso,bsi->soi", dt, x)
         dl = s["g"] * (dg - (s["g"] * dg).sum(1, keepdims=True))
-        act, a = s["a"] * s["cdf"], s["a"]
+        act, a = s["a"] * s["cdf"] * kept, s["a"]
         inner = np.sqrt(2 / np.pi) * (1 + 3 * 0.044715 * a**2)
-        da = dl[..., None] * p["gate_out"] * (s["cdf"] + a * 2 * s["cdf"] * (1 - s["cdf"]) * inner)
+        da = dl[..., None] * p["gate_out"] * kept * (s["cdf"] + a * 2 * s["cdf"] * (1 - s["cdf"]) * inner)
         return loss, {
             "shared": residual.sum(0), "residual": residual, "items": np.einsum("bko,bki->oi", d_items, raw), "gate_out": (dl[..., None] * act).sum((0, 1)),
             "gate_last": np.array([dl.sum()]), "gate_in": np.einsum("bsh,bsf->hf", da, s["f"]), "gate_bias": da.sum((0, 1)),
         }
 
 
-def train(model: GatedFusion, batches, score, epochs: int = 5, rate: float = 3e-4, decay: float = 1e-4, clip: float = 1.0, patience: int = 2, temperature: float = 0.07) -> list[dict]:
+def train(model: GatedFusion, batches, score, epochs: int = 5, rate: float = 3e-4, decay: float = 1e-4, clip: float = 1.0, patience: int = 2, temperature: float = 0.07, dropout: float = 0.0, seed: int = 0) -> list[dict]:
     """AdamW with clipped slopes; keeps the parameters of the best validation score and stops when it stays away.
     ``batches(epoch)`` gives the arguments of ``step``; ``score(model)`` is the validation NDCG."""
     first = {k: np.zeros_like(v) for k, v in model.parameters.items()}
+    draws = np.random.Generator(np.random.PCG64([seed, 1]))
     second, best, kept, bad, t = {k: np.zeros_like(v) for k, v in model.parameters.items()}, -np.inf, None, 0, 0
     history = [{"epoch": 0, "train_loss": None, "ndcg": score(model), "is_best": False}]
     best, kept = history[0]["ndcg"], {k: v.copy() for k, v in model.parameters.items()}
     for epoch in range(1, epochs + 1):
         losses = []
         for batch in batches(epoch):
-            loss, slopes = model.step(*batch, temperature)
+            loss, slopes = model.step(*batch, temperature, dropout, draws)
             size = np.sqrt(sum((g**2).sum() for g in slopes.values()))
             t += 1
             for k, g in slopes.items():

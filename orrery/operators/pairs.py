@@ -11,8 +11,8 @@ from orrery.functions.scoring import sample_weight
 from orrery.operators.retrieval import ranked
 
 
-def positives(truth: DataFrame, splits: tuple[str, ...] = ("train", "validation")) -> DataFrame:
-    return truth.where(F.col("split").isin(*splits)).withColumn("sample_weight", sample_weight(F.col("relevance_score"), F.col("proficiency")))
+def positives(truth: DataFrame, splits: tuple[str, ...] = ("train", "validation"), parts: tuple[float, float, float] = (0.7, 0.3, 0.1)) -> DataFrame:
+    return truth.where(F.col("split").isin(*splits)).withColumn("sample_weight", sample_weight(F.col("relevance_score"), F.col("proficiency"), parts))
 
 
 def hard_negatives(predictions: DataFrame, truth: DataFrame, count: int, query: str = "query_id", item: str = "item_id") -> DataFrame:

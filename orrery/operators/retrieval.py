@@ -8,16 +8,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from orrery.functions.vectors import dot, l2_normalize
 
-TILE_ROWS, DIGITS = 8192, 12
+TILE_ROWS, DIGITS = 4096, 12
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -30,6 +31,17 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
+def _best(scores: np.ndarray, keep: int) -> np.ndarray:
+    """Places of each row's ``keep`` largest, equal ones by place. Rows are partitioned first; only what is left is sorted."""
+    if keep >= scores.shape[1]:
+        return np.argsort(-scores, axis=1, kind="stable")
+    least = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1 : keep]
+    row, place = np.nonzero(scores >= least)  # with all that tie for the last place
+    order = np.lexsort((place, -scores[row, place], row))
+    first = np.searchsorted(row, np.arange(len(scores)))
+    return place[order][first[:, None] + np.arange(keep)]
+
+
 def cosine_top_k(queries: DataFrame, items: DataFrame, k: int, query_keys: tuple[str, ...] = ("query_id",), item_key: str = "item_id", vector: str = "v", tile_rows: int = TILE_ROWS) -> DataFrame:
     """query keys, item key, score, rank: the k items of highest cosine, equal scores by item key. One action counts both
     sides to size the tiles."""
@@ -46,7 +58,7 @@ def cosine_top_k(queries: DataFrame, items: DataFrame, k: int, query_keys: tuple
         b = b.sort_by(item_key)
         scores = np.round(_unit(_matrix(a[vector])) @ _unit(_matrix(b[vector])).T, DIGITS)
         keep = min(k, scores.shape[1])
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
+        best = _best(scores, keep)
         at = pa.array(np.repeat(np.arange(a.num_rows), keep))
         return pa.table({**{c: a[c].take(at) for c in keys}, item_key: b[item_key].take(pa.array(best.ravel())), "score": pa.array(np.take_along_axis(scores, best, 1).ravel())})
 
@@ -91,13 +103,60 @@ def lsh_buckets(frame: DataFrame, keys: list[str], vector: str, dimension: int,
     return frame.select(*keys, vector).mapInPandas(assign, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", table long, bucket long")
 
 
-def ann_top_k(queries: DataFrame, items: DataFrame, k: int, dimension: int, query_key: str = "query_id", item_key: str = "item_id", vector: str = "v", tables: int = 24, bits: int = 6, probes: int = 4) -> DataFrame:
+@dataclass(frozen=True)
+class AnnIndex:
+    """Items by bucket of each hash table, with their unit vectors, and how they were hashed."""
+
+    items: DataFrame
+    buckets: DataFrame
+    dimension: int
+    tables: int
+    bits: int
+    probes: int
+    seed: int = 7
+
+
+def build_index(items: DataFrame, dimension: int, item_key: str = "item_id", vector: str = "v", tables: int = 24, bits: int = 6, probes: int = 4, seed: int = 7) -> AnnIndex:
+    if min(dimension, tables) < 1 or min(bits, probes) < 0:
+        raise ValueError("an index needs a dimension and tables")
+    unit = items.select(F.col(item_key).alias("item_id"), l2_normalize(F.col(vector)).alias("v"))
+    return AnnIndex(unit, lsh_buckets(unit, ["item_id"], "v", dimension, tables, bits, seed=seed), dimension, tables, bits, min(probes, bits), seed)
+
+
+def search_index(index: AnnIndex, queries: DataFrame, k: int, query_key: str = "query_id", item_key: str = "item_id", vector: str = "v") -> DataFrame:
     """Approximate top k: items that share a bucket in some table, scored exactly."""
-    q = lsh_buckets(queries, [query_key], vector, dimension, tables, bits, probes)
-    i = lsh_buckets(items, [item_key], vector, dimension, tables, bits)
-    pairs = q.join(i, ["table", "bucket"]).select(query_key, item_key).distinct()
-    scored = pairs.join(queries.select(query_key, l2_normalize(F.col(vector)).alias("_q")), query_key).join(items.select(item_key, l2_normalize(F.col(vector)).alias("_i")), item_key)
-    return ranked(scored.select(query_key, item_key, F.round(dot(F.col("_q"), F.col("_i")), DIGITS).alias("score")), [query_key], k, F.col("score").desc(), F.col(item_key))
+    if k < 1:
+        raise ValueError("k must be positive")
+    asked = queries.select(query_key, l2_normalize(F.col(vector)).alias("_q"))
+    q = lsh_buckets(asked, [query_key], "_q", index.dimension, index.tables, index.bits, index.probes, index.seed)
+    pairs = q.join(index.buckets, ["table", "bucket"]).select(query_key, "item_id").distinct()
+    scored = pairs.join(asked, query_key).join(index.items.withColumnRenamed("v", "_i"), "item_id")
+    scored = scored.select(query_key, F.col("item_id").alias(item_key), F.round(dot(F.col("_q"), F.col("_i")), DIGITS).alias("score"))
+    return ranked(scored, [query_key], k, F.col("score").desc(), F.col(item_key))
+
+
+def save_index(index: AnnIndex, folder: str) -> None:
+    """Writes the index as tables: its vectors, its buckets by hash table, and one row of settings."""
+    index.items.write.mode("overwrite").parquet(f"{folder}/items.parquet")
+    index.buckets.write.mode("overwrite").partitionBy("table").parquet(f"{folder}/buckets.parquet")
+    kept = [(index.dimension, index.tables, index.bits, index.probes, index.seed)]
+    index.items.sparkSession.createDataFrame(kept, "dimension int, tables int, bits int, probes int, seed int").write.mode("overwrite").parquet(f"{folder}/settings.parquet")
+
+
+def load_index(spark: SparkSession, folder: str, probes: int | None = None) -> AnnIndex:
+    """A saved index, with another search effort if one is given."""
+    if probes is not None and probes < 0:
+        raise ValueError("the search effort must not be negative")
+    found = spark.read.parquet(f"{folder}/settings.parquet").first().asDict()
+    if probes is not None:
+        found["probes"] = min(probes, found["bits"])
+    buckets = spark.read.parquet(f"{folder}/buckets.parquet").withColumn("table", F.col("table").cast("long"))
+    return AnnIndex(spark.read.parquet(f"{folder}/items.parquet"), buckets, **found)
+
+
+def ann_top_k(queries: DataFrame, items: DataFrame, k: int, dimension: int, query_key: str = "query_id", item_key: str = "item_id", vector: str = "v", tables: int = 24, bits: int = 6, probes: int = 4) -> DataFrame:
+    """Approximate top k with an index made for this call."""
+    return search_index(build_index(items, dimension, item_key, vector, tables, bits, probes), queries, k, query_key, item_key, vector)
 
 
 def neighbor_recall(reference: DataFrame, observed: DataFrame, k: int, query_key: str = "query_id", item_key: str = "item_id") -> DataFrame:

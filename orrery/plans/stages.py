@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import dataclasses
 import math
+import time
 from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window as W
@@ -16,10 +18,14 @@ from pyspark.sql import functions as F
 
 from orrery import config as S, contracts as C
 from orrery.functions import scoring, text as T
+from orrery.functions.vectors import mean_vector
 from orrery.operators import audit, features, fusion, hybrid, metrics, pairs, population, rerank, retrieval
+from orrery.plans import learning
 from orrery.sources import tables
 from orrery.session import ship
 
+#: The engine that pools are marked with.
+HYBRID = "hybrid_rrf"
 IDS = {"candidate_id": "query_id", "skill_id": "item_id"}
 
 
@@ -86,25 +92,37 @@ def build_features(spark: SparkSession, source: str, target: str, settings: S.Fe
     return _write(target, "features", settings, {"candidate_tower_features": towers, "skill_features": catalog, "candidate_index": index}, {"candidates": people, "source_status": status, "skills": skills})
 
 
-def build_vectors(spark: SparkSession, source: str, target: str, settings: S.FeatureConfig, dimension: int = 384) -> dict:
+def build_vectors(spark: SparkSession, source: str, target: str, settings: S.EmbeddingConfig) -> dict:
     """Encoded towers and skills, and candidates fused by reliability."""
     towers, skills, index = _read(spark, source, "candidate_tower_features", "skill_features", "candidate_index")
-    make = lambda: features.HashingEncoder(dimension)
-    said = towers.withColumn("_text", T.role_prefixed(F.col("source"), F.col("tower_text")))
-    vectors = features.encode_texts(said, ["candidate_id", "source"], "_text", "is_available", make).join(towers.select("candidate_id", "source", "is_available", "reliability_score", "split"), ["candidate_id", "source"])
-    items = features.encode_texts(skills.withColumn("_text", F.concat(F.lit("Skill: "), "skill_text")), ["skill_id"], "_text", None, make)
+    make = lambda: features.HashingEncoder(settings.dimension)
+    prefix = F.replace(F.lit(settings.candidate_prefix), F.lit("{source}"), F.replace("source", F.lit("_"), F.lit(" ")))
+    said = towers.withColumn("_text", F.concat(prefix, "tower_text"))
+    vectors = features.encode_texts(said, ["candidate_id", "source"], "_text", "is_available", make, settings.batch_size).join(towers.select("candidate_id", "source", "is_available", "reliability_score", "split"), ["candidate_id", "source"])
+    items = features.encode_texts(skills.withColumn("_text", F.concat(F.lit(settings.skill_prefix), "skill_text")), ["skill_id"], "_text", None, make, settings.batch_size)
     fused = fusion.reliability_fusion(vectors, ["candidate_id"], "embedding").join(index.select("candidate_id", "split"), "candidate_id")
     return _write(target, "vectors", settings, {"tower_vectors": vectors, "skill_vectors": items, "candidate_vectors": fused}, {"towers": towers, "skills": skills})
 
 
 def evaluate(spark: SparkSession, source: str, target: str, settings: S.RetrievalConfig) -> dict:
-    """Predictions and metrics of fused candidates against the whole catalog; the baseline may look at any split."""
+    """Predictions and metrics of fused candidates against the whole catalog, for each way to fuse; the baseline may look at
+    any split."""
     people, items, truth = (_plain(f) for f in _read(spark, source, "candidate_vectors", "skill_vectors", "candidate_skill_truth"))
     asked = people.where(F.col("split").isin(*settings.splits))
-    top = retrieval.cosine_top_k(asked, items, max(settings.cutoffs), vector="embedding").join(asked.select("query_id", "split"), "query_id")
+    known = truth.join(asked.select("query_id"), "query_id", "left_semi")
+    ranked, measured = [], []
+    for strategy in settings.strategies:
+        fused = asked
+        if strategy == "uniform_mean":
+            towers = _plain(_read(spark, source, "tower_vectors")[0]).where("is_available").join(asked.select("query_id"), "query_id", "left_semi")
+            fused = mean_vector(towers, ["query_id"], "embedding")
+        top = retrieval.cosine_top_k(fused, items, max(settings.cutoffs), vector="embedding")
+        ranked.append(top.withColumn("strategy", F.lit(strategy)))
+        measured.append(metrics.per_query(top, known, settings.cutoffs).withColumn("strategy", F.lit(strategy)))
+    top, each = (reduce(DataFrame.unionByName, frames).join(asked.select("query_id", "split"), "query_id") for frames in (ranked, measured))
     flagged = top.join(truth.select("query_id", "item_id").distinct().withColumn("is_relevant", F.lit(True)), ["query_id", "item_id"], "left").fillna(False, ["is_relevant"])
-    each = metrics.per_query(top, truth.join(asked.select("query_id"), "query_id", "left_semi"), settings.cutoffs).join(asked.select("query_id", "split"), "query_id")
-    overall = metrics.averaged(each, ["split"]).join(metrics.catalog_coverage(top, ["split"], settings.cutoffs, items.count()), ["split", "k"])
+    by = ["strategy", "split"]
+    overall = metrics.averaged(each, by).join(metrics.catalog_coverage(top, by, settings.cutoffs, items.count()), [*by, "k"])
     return _write(target, "retrieval", settings, {"retrieval_predictions": _named(flagged), "retrieval_candidate_metrics": _named(each), "retrieval_metrics": overall}, {"candidates": people, "skills": items})
 
 
@@ -113,12 +131,14 @@ def mine_pairs(spark: SparkSession, source: str, target: str, settings: S.PairCo
     asked = people.where(F.col("split").isin(*settings.splits))
     known = truth.join(asked.select("query_id", "split"), "query_id")
     most = known.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
-    top = retrieval.cosine_top_k(asked, items, most + settings.hard_negatives + 20, vector="embedding")
-    good, hard = pairs.positives(known, settings.splits), pairs.hard_negatives(top, known, settings.hard_negatives)
+    good = pairs.positives(known, settings.splits, (settings.relevance_weight, settings.proficiency_weight, settings.minimum_weight))
+    asked = asked.where(F.col("split") == settings.negative_split)
+    top = retrieval.cosine_top_k(asked, items, most + settings.hard_negatives, vector="embedding")
+    hard = pairs.hard_negatives(top, known, settings.hard_negatives)
     random = pairs.random_negatives(asked, items, known.select("query_id", "item_id").unionByName(hard.select("query_id", "item_id")), settings.random_negatives, str(settings.seed))
-    bad = hard.unionByName(random, allowMissingColumns=True)
+    bad = hard.unionByName(random, allowMissingColumns=True).join(asked.select("query_id", "split"), "query_id")
     C.require({"positives and negatives are apart": good.select("query_id", "item_id").intersect(bad.select("query_id", "item_id")), "hard negatives": C.short_groups(asked, hard, "query_id", settings.hard_negatives)})
-    index = pairs.pair_counts(asked.select("query_id", "split"), good, bad)
+    index = pairs.pair_counts(people.where(F.col("split").isin(*settings.splits)).select("query_id", "split"), good, bad)
     return _write(target, "pairs", settings, {"positive_pairs": _named(good), "negative_pairs": _named(bad), "training_candidate_index": _named(index)}, {"candidates": people, "skills": items, "truth": truth}, {"sealed_rows": good.where("split = 'test'").count()})
 
 
@@ -129,26 +149,43 @@ def build_pools(spark: SparkSession, source: str, target: str, settings: S.Hybri
     learned = retrieval.cosine_top_k(asked, items, settings.learned_k, vector="embedding")
     order = F.array_position(F.array(*map(F.lit, scoring.SOURCES)), F.col("source")).cast("int").alias("tower_order")
     seen = towers.where("is_available").join(asked.select("query_id"), "query_id", "left_semi").select("query_id", order, F.col("reliability_score").alias("reliability"), "embedding")
-    by_tower = retrieval.cosine_top_k(seen, items, settings.learned_k, ("query_id", "tower_order", "reliability"), vector="embedding")
+    by_tower = retrieval.cosine_top_k(seen, items, settings.tower_k, ("query_id", "tower_order", "reliability"), vector="embedding")
     worth = F.round(scoring.occupation_score(*(F.col(c) for c in ("importance", "level", "hot_technology", "in_demand"))), 12)
     best = relations.where(~F.coalesce("not_relevant", F.lit(False))).groupBy("onet_soc_code", "item_id").agg(F.max(worth).alias("score"))
-    best = retrieval.ranked(best, ["onet_soc_code"], settings.learned_k, F.col("score").desc(), F.col("item_id"))
+    best = retrieval.ranked(best, ["onet_soc_code"], settings.occupation_k, F.col("score").desc(), F.col("item_id"))
     jobs = index.join(asked.select("query_id"), "query_id", "left_semi").select("query_id", F.col("primary_onet_soc_code").alias("onet_soc_code")).join(best, "onet_soc_code")
     fused = hybrid.fuse(learned, by_tower, jobs, settings.rrf_constant, settings.tower_weight, settings.occupation_weight)
-    pool = hybrid.fill_pools(fused, asked, items, settings.pool_k, settings.learned_k)
+    pool = hybrid.fill_pools(fused, asked, items, settings.pool_k, settings.learned_k).withColumn("engine", F.lit(HYBRID)).withColumn("split", F.lit(settings.split))
     C.require({"pool size": C.incomplete_ranks(pool, "query_id", "rank", settings.pool_k)})
     visible = C.refuse_sealed(truth).where(F.col("split") == settings.split)
-    stages = learned.select(F.lit(f"learned_top{settings.learned_k}").alias("stage"), "query_id", "item_id").unionByName(pool.select(F.lit(f"hybrid_top{settings.pool_k}").alias("stage"), "query_id", "item_id"))
+    stages = learned.select(F.lit(f"learned_top{settings.learned_k}").alias("stage"), "query_id", "item_id")
+    for k in sorted({*(c for c in settings.evaluation_cutoffs if c < settings.pool_k), settings.pool_k}):
+        stages = stages.unionByName(pool.where(F.col("rank") <= k).select(F.lit(f"hybrid_top{k}").alias("stage"), "query_id", "item_id"))
     kept = pool.where("is_learned_protected").groupBy("query_id").count().where(F.col("count") == settings.learned_k).count()
     return _write(target, "hybrid", settings, {"hybrid_retrieval_predictions": _named(pool), "hybrid_retrieval_metrics": hybrid.stage_metrics(stages, visible, items.count())}, {"candidates": people, "skills": items}, {"candidates_with_whole_head": kept})
 
 
+def hybrid_pools(predictions: DataFrame, split: str, size: int) -> DataFrame:
+    """The split's pools, which raise unless they are the hybrid engine's, complete, without repeats, and keep the learned
+    head in its places."""
+    pool = predictions.where(F.col("split") == split)
+    head = F.count_if("is_learned_protected")
+    heads = pool.groupBy("query_id").agg(head.alias("held"), F.max(F.when(F.col("is_learned_protected"), F.col("rank"))).alias("last"), F.max("rank").alias("most"))
+    C.require(
+        {
+            "no pools": pool.groupBy().count().where(F.col("count") == 0), "hybrid engine": pool.where(~F.col("engine").eqNullSafe(F.lit(HYBRID))), "pool pairs": C.duplicate_keys(pool, ["query_id", "item_id"]),
+            "pool ranks": heads.where(F.col("most") < size), "whole ranks": C.incomplete_ranks(pool.where(F.col("rank") <= size), "query_id", "rank", size), "protected head": heads.where((F.col("held") == 0) | (F.col("held") != F.col("last"))),
+        }
+    )
+    return pool
+
+
 def rerank_pools(spark: SparkSession, source: str, target: str, settings: S.RerankConfig) -> dict:
     """The grid of trials over pools, the selected one's lists, and what each part gave."""
     pool, towers, items, truth = (_plain(f) for f in _read(spark, source, "hybrid_retrieval_predictions", "tower_vectors", "skill_vectors", "positive_pairs"))
     truth = C.refuse_sealed(truth)
+    pool = hybrid_pools(pool, settings.split, settings.candidate_pool_size)
     pool = pool.where(F.col("rank") <= settings.candidate_pool_size).select("query_id", "item_id", "rank", F.col("rrf_score").alias("score"))
-    C.require({"pool ranks": C.incomplete_ranks(pool, "query_id", "rank", settings.candidate_pool_size)})
     gates = towers.withColumn("gate_weight", fusion.initial_gates(F.col("reliability_score"), F.col("is_available"), "query_id")).where("is_available").withColumnRenamed("embedding", "v")
     catalog = items.withColumnRenamed("embedding", "v")
     popular = rerank.train_popularity(items, truth.where("split = 'train'"))
@@ -162,8 +199,9 @@ def rerank_pools(spark: SparkSession, source: str, target: str, settings: S.Rera
     summary = summary.join(lists.join(popular, "item_id").groupBy("trial").agg(F.avg("popularity_score").alias("mean_popularity")), "trial")
     summary = summary.join(rerank.list_similarity(lists, catalog, ["trial", "query_id"]).groupBy("trial").agg(F.avg("mean_intra_list_similarity").alias("mean_intra_list_similarity")), "trial")
     chosen = rerank.select_trial(summary, settings.maximum_ndcg_drop).join(trials, "trial")
+    compared = chosen.where("trial = 0").withColumn("strategy", F.lit(f"retrieval_top{settings.output_k}")).unionByName(chosen.where("is_selected").withColumn("strategy", F.lit("selected_reranker")))
     best = lists.join(chosen.where("is_selected").select("trial"), "trial").join(base.select("query_id", "item_id", F.col("score").alias("retrieval_score"), "evidence_score", "popularity_score"), ["query_id", "item_id"])
-    return _write(target, "reranking", settings, {"reranking_trials": chosen, "reranked_predictions": _named(best)}, {"pools": pool, "truth": truth})
+    return _write(target, "reranking", settings, {"reranking_trials": chosen, "reranking_comparison": compared, "reranked_predictions": _named(best)}, {"pools": pool, "truth": truth})
 
 
 def audit_coverage(spark: SparkSession, source: str, target: str, settings: S.AuditConfig) -> dict:
@@ -180,9 +218,85 @@ def audit_coverage(spark: SparkSession, source: str, target: str, settings: S.Au
     return _write(target, "audit", settings, outputs, {"pools": pool, "lists": lists, "truth": truth}, {"next_step": step, "sealed_rows": visible.where("split = 'test'").count(), "random_recall": min(settings.retrieval_k / max(1, skills.count()), 1.0), "finite": math.isfinite(found["pool"]["herfindahl_index"])})
 
 
+def train(spark: SparkSession, source: str, target: str, settings: S.FusionConfig) -> dict:
+    """Pairs and towers to a gated fusion model: its vectors of candidates and skills, gates, history and parameters."""
+    vectors, found, items, index, positive, negative = (_plain(f) for f in _read(spark, source, "tower_vectors", "candidate_tower_features", "skill_vectors", "candidate_index", "positive_pairs", "negative_pairs"))
+    items = items.select("item_id", F.col("embedding").cast("array<double>").alias("v"))
+    width = items.select(F.size("v").alias("n")).unionByName(vectors.select(F.size("embedding").alias("n"))).where(F.col("n") != settings.input_dimension)
+    checks = {"vector dimension": width, "skill key": C.duplicate_keys(items, ["item_id"])}
+    for name, table in (("positive", positive), ("negative", negative)):
+        checks |= {f"sealed {name} pairs": table.where("split = 'test'"), f"splits of {name} pairs": C.disagreeing(table, index, ["query_id"], "split"), f"skills of {name} pairs": C.orphans(table, items, "item_id", "item_id")}
+    C.require(checks)
+    towers = learning.aligned_towers(index, vectors, found, settings).cache()
+    model, history = learning.train_fusion(towers, items, positive, negative, settings)
+    encoded = fusion.encode_queries(towers, model).join(towers.select("query_id", "split"), "query_id")
+    gates = encoded.select("query_id", "split", F.posexplode("gates").alias("_at", "gate_weight")).withColumn("source", F.array(*map(F.lit, scoring.SOURCES))[F.col("_at")]).drop("_at")
+    gates = gates.join(vectors.select("query_id", "source", "is_available"), ["query_id", "source"])
+    tables.save_parameters(spark, model.parameters, f"{target}/fusion_parameters.parquet")
+    outputs = {
+        "learned_candidate_vectors": _named(encoded.select("query_id", "split", F.col("v").alias("embedding"))), "learned_skill_vectors": _named(fusion.encode_items(items, model).withColumnRenamed("v", "embedding")),
+        "gate_weights": _named(gates), "training_history": learning.history_table(spark, history),
+    }
+    best = next(h for h in history if h["is_best"])
+    measured = {"best_epoch": best["epoch"], "best_validation": best, "sources": list(scoring.SOURCES), "examples": learning.EXAMPLES, "parameters": {k: {"shape": list(v.shape), "dtype": str(v.dtype)} for k, v in model.parameters.items()}}
+    body = _write(target, "fusion", settings, outputs, {"towers": vectors, "positive_pairs": positive, "negative_pairs": negative}, measured)
+    C.require({"gates sum to one": C.wrong_sums(spark.read.parquet(f"{target}/gate_weights.parquet"), "candidate_id", "gate_weight")})
+    towers.unpersist()
+    return body
+
+
+def evaluate_learned(spark: SparkSession, source: str, target: str, settings: S.LearnedRetrievalConfig) -> dict:
+    """Learned vectors under three engines (tiles, expressions, a saved hash index): metrics, agreement, seconds, and what was
+    gained on the frozen baseline. Raises if the index finds fewer of the exact neighbors than the settings ask for."""
+    people, items, truth, baseline = (_plain(f) for f in _read(spark, source, "learned_candidate_vectors", "learned_skill_vectors", "positive_pairs", "retrieval_metrics"))
+    people, items = (f.withColumnRenamed("embedding", "v") for f in (people, items))
+    asked, visible = people.where(F.col("split") == settings.split), C.refuse_sealed(truth).where(F.col("split") == settings.split)
+    size, most = items.count(), max(settings.cutoffs)
+    if most > size:
+        raise C.ContractError(f"the largest cutoff {most} exceeds the catalog of {size}")
+    C.require({"same candidates": C.both_or_neither(asked, visible, "query_id"), "known skills": C.orphans(visible, items, "item_id", "item_id"), "no candidates": asked.groupBy().count().where(F.col("count") == 0)})
+    width = len(items.first()["v"])
+    # buckets of about ef_construction items, searched until about ef_search items a table are met
+    bits = max(0, math.floor(math.log2(max(1.0, size / settings.ef_construction))))
+    folder, probes = f"{target}/skill_index", math.ceil(settings.ef_search / settings.ef_construction) + bits // 2
+    began = time.perf_counter()
+    retrieval.save_index(retrieval.build_index(items, width, tables=settings.m, bits=bits, probes=probes), folder)
+    built = time.perf_counter() - began
+    index = retrieval.load_index(spark, folder)
+    engines = {
+        "tiles_exact": (0.0, lambda: retrieval.cosine_top_k(asked, items, most)), "expressions_exact": (0.0, lambda: retrieval.cosine_top_k_native(asked, items, most)),
+        "hash_index": (built, lambda: retrieval.search_index(index, asked, most)),
+    }
+    n, found, timed, measured = asked.count(), {}, [], []
+    for engine, (build, search) in engines.items():
+        began = time.perf_counter()
+        path = f"{target}/learned_retrieval_predictions.parquet/engine={engine}"
+        search().select("query_id", "item_id", "score", F.col("rank").cast("int").alias("rank")).write.mode("overwrite").parquet(path)
+        took = time.perf_counter() - began
+        found[engine] = spark.read.parquet(path)
+        timed.append((engine, build, took, n, n / took))
+        each = metrics.averaged(metrics.per_query(found[engine], visible, settings.cutoffs).withColumn("engine", F.lit(engine)), ["engine"])
+        measured.append(each.join(metrics.catalog_coverage(found[engine].withColumn("engine", F.lit(engine)), ["engine"], settings.cutoffs, size), ["engine", "k"]))
+    fidelity = None
+    for engine in ("expressions_exact", "hash_index"):
+        for k in settings.cutoffs:
+            one = retrieval.neighbor_recall(found["tiles_exact"], found[engine], k).select(F.lit(engine).alias("engine"), F.lit("tiles_exact").alias("reference"), "k", "neighbor_recall")
+            fidelity = one if fidelity is None else fidelity.unionByName(one)
+    fidelity = fidelity.cache()
+    recall = fidelity.where(f"engine = 'hash_index' AND k = {most}").first()["neighbor_recall"]
+    if recall < settings.minimum_recall_at_max_k:
+        raise C.ContractError(f"the index's recall at {most}, {recall:.4f}, is below {settings.minimum_recall_at_max_k}")
+    old = baseline.where((F.col("split") == settings.split) & (F.col("strategy") == "reliability_weighted"))
+    learned = reduce(DataFrame.unionByName, measured)
+    gained = metrics.lift(old, learned.where("engine = 'tiles_exact'"), (*metrics.METRICS, "catalog_coverage"))
+    C.require({"no common cutoffs": gained.groupBy().count().where(F.col("count") == 0)})
+    outputs = {"learned_retrieval_metrics": learned, "ann_fidelity": fidelity, "search_benchmark": spark.createDataFrame(timed, "engine string, index_build_seconds double, search_seconds double, queries long, queries_per_second double"), "baseline_comparison": gained}
+    return _write(target, "learned_retrieval", settings, outputs, {"candidates": people, "skills": items, "truth": truth}, {"recall_at_max_k": recall, "index": folder})
+
+
 STAGES: dict[str, tuple[Callable[..., dict], type[S.Settings]]] = {
-    "generate": (generate, S.PopulationConfig), "features": (build_features, S.FeatureConfig), "vectors": (build_vectors, S.FeatureConfig), "evaluate": (evaluate, S.RetrievalConfig),
-    "pairs": (mine_pairs, S.PairConfig), "pools": (build_pools, S.HybridConfig), "rerank": (rerank_pools, S.RerankConfig), "audit": (audit_coverage, S.AuditConfig),
+    "generate": (generate, S.PopulationConfig), "features": (build_features, S.FeatureConfig), "vectors": (build_vectors, S.EmbeddingConfig), "evaluate": (evaluate, S.RetrievalConfig),
+    "pairs": (mine_pairs, S.PairConfig), "train": (train, S.FusionConfig), "evaluate_learned": (evaluate_learned, S.LearnedRetrievalConfig), "pools": (build_pools, S.HybridConfig), "rerank": (rerank_pools, S.RerankConfig), "audit": (audit_coverage, S.AuditConfig),
 }
 
 

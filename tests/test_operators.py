@@ -200,6 +200,38 @@ def test_contracts(spark):
         assert C.incomplete_ranks(ranks(*bad), "q", "rank", 3).count() == 1
 
 
+def test_settings_have_names_of_their_files(tmp_path):
+    file = tmp_path / "x.toml"
+    file.write_text('[splits]\ntrain = 0.7\nvalidation = 0.2\ntest = 0.1\n[missingness]\nresume = 0.3\n')
+    assert (PopulationConfig.load(file).train_fraction, PopulationConfig.load(file).resume_missing_rate) == (0.7, 0.3)
+    file.write_text("[mining]\nhard_negatives_per_candidate = 7\n")
+    assert PairConfig.load(file).hard_negatives == 7
+    file.write_text("[mining]\nhard_negative = 7\n")
+    with pytest.raises(ValueError, match="unknown setting mining.hard_negative"):
+        PairConfig.load(file)
+
+
+def test_saved_index(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    items = spark.createDataFrame([(i, rng.standard_normal(16).tolist()) for i in range(300)], "item_id int, v array<double>")
+    asked = items.where("item_id < 20").withColumnRenamed("item_id", "query_id")
+    made = retrieval.build_index(items, 16, tables=4, bits=4, probes=1)
+    retrieval.save_index(made, str(tmp_path))
+    exact = retrieval.cosine_top_k(asked, items, 5)
+    few, many = (retrieval.load_index(spark, str(tmp_path), probes) for probes in (0, 4))
+    recall = [retrieval.neighbor_recall(exact, retrieval.search_index(i, asked, 5), 5).first()["neighbor_recall"] for i in (few, retrieval.load_index(spark, str(tmp_path)), many)]
+    assert recall[0] <= recall[1] <= recall[2] and recall[2] > 0.8
+    assert sorted(retrieval.search_index(made, asked, 5).collect()) == sorted(retrieval.search_index(retrieval.load_index(spark, str(tmp_path)), asked, 5).collect())
+    with pytest.raises(ValueError):
+        retrieval.load_index(spark, str(tmp_path), -1)
+
+
+def test_best_of_a_row_keeps_the_order_of_ties():
+    scores = np.round(np.random.default_rng(0).random((50, 80)), 1)
+    for keep in (1, 7, 80, 100):
+        assert (retrieval._best(scores, keep) == np.argsort(-scores, axis=1, kind="stable")[:, :keep]).all()
+
+
 def test_configs(tmp_path):
     file = tmp_path / "x.toml"
     file.write_text('[a]\nsplit = "validation"\n[search]\nevidence_weights = [0.1, 0.2]\ncandidate_pool_size = 50\n')

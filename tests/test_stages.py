@@ -2,9 +2,12 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from orrery import contracts as C
 from orrery.plans import stages
+from orrery.sources import tables
 
 
 def test_from_taxonomy_to_audit(spark, tmp_path):
@@ -22,10 +25,24 @@ def test_from_taxonomy_to_audit(spark, tmp_path):
     texts = spark.read.parquet(f"{at}/candidate_tower_features.parquet")
     assert texts.where(F.col("tower_text").rlike("cand_|_claim_|_job_|\\\\bs[0-9]+\\\\b")).isEmpty()  # no ids in texts
     run("vectors")
-    run("evaluate", cutoffs=(3, 5), splits=("train", "validation"))
+    run("evaluate", cutoffs=(3, 5), splits=("train", "validation"), strategies=("reliability_weighted", "uniform_mean"))
+    assert spark.read.parquet(f"{at}/retrieval_metrics.parquet").count() == 8
     assert run("pairs", hard_negatives=4, random_negatives=3)["measured"]["sealed_rows"] == 0
+    fitted = run("train", epochs=2, output_dimension=16, batch_size=64, hard_negatives_per_example=2, random_negatives_per_example=2)
+    assert fitted["measured"]["best_epoch"] in (0, 1, 2) and fitted["outputs"]["learned_skill_vectors"]["rows"] == 40
+    assert set(tables.load_parameters(spark, f"{at}/fusion_parameters.parquet")) == set(fitted["measured"]["parameters"])
+    learned = run("evaluate_learned", cutoffs=(3, 5))
+    assert learned["measured"]["recall_at_max_k"] >= 0.99 and learned["outputs"]["baseline_comparison"]["rows"] == 12
+    with pytest.raises(C.ContractError, match="recall"):
+        stages.run(spark, "evaluate_learned", at, f"{at}/other", cutoffs=(3, 5), m=1, ef_construction=2, ef_search=1)
     assert run("pools", learned_k=8, pool_k=20)["measured"]["candidates_with_whole_head"] == 4
     run("rerank", candidate_pool_size=20, output_k=5, evidence_weights=(0.2,), popularity_penalties=(0.0, 0.1), diversity_penalties=(0.0, 0.05))
+    assert spark.read.parquet(f"{at}/reranking_comparison.parquet").count() == 2
+    pools = spark.read.parquet(f"{at}/hybrid_retrieval_predictions.parquet").withColumnsRenamed(stages.IDS)
+    assert not stages.hybrid_pools(pools, "validation", 20).isEmpty()
+    for broken in (pools.withColumn("engine", F.lit("other")), pools.where("rank <> 3"), pools.where("rank < 20"), pools.unionByName(pools), pools.withColumn("is_learned_protected", F.col("rank") % 2 == 0)):
+        with pytest.raises(C.ContractError):
+            stages.hybrid_pools(broken, "validation", 20)
     trials = spark.read.parquet(f"{at}/reranking_trials.parquet")
     assert trials.count() == 5 and trials.where("is_selected").count() == 1
     body = run("audit", retrieval_k=5, pool_k=20)
