@@ -23,10 +23,11 @@ NO_ID = np.iinfo(np.int64).min
 
 
 def in_parts(documents: DataFrame, key: str, text: str, part_bytes: int = PART_BYTES) -> tuple[DataFrame, int]:
-    """The documents with ``_part`` int, and the number of parts; that needs one pass for the size of the texts."""
+    """The documents with ``_part`` int, and the number of parts; that needs one pass for the size of the texts. Rows of one
+    id share a part; those without an id are dealt by their text."""
     size = documents.agg(F.sum(F.octet_length(text)), F.count(F.lit(1))).first()
     n = max(1, math.ceil((size[0] or 0) / part_bytes), math.ceil(size[1] / 200_000))
-    return documents.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n
+    return documents.withColumn("_part", F.pmod(F.when(F.col(key).isNull(), F.xxhash64(text)).otherwise(F.xxhash64(key)), F.lit(n)).cast("int")), n
 
 
 def ordered(table: pa.Table, key: str, text: str) -> pa.Table:

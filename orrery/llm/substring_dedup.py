@@ -4,17 +4,21 @@ Every run of ``window`` words that also starts earlier (at a smaller id, or earl
 
 1. *Survey.* Each part names its documents' digests and its anchors. An anchor is the gram of ``GRAM`` words that is least
    by hash in some window; equal windows have equal anchors, so only windows over a repeated anchor can repeat.
-   A histogram of all windows' first ``LABELS[0]`` words plans the prefixes: bins with more suffixes than
-   ``TREE_SUFFIXES`` take a prefix of two labels and are dealt to several trees, the others share a tree.
+   A histogram of all windows' first ``LABELS[0]`` words plans the prefixes, whose lengths vary: bins with more suffixes
+   than ``TREE_SUFFIXES`` take a prefix of two labels and are dealt to several trees, those with ``DEEP`` times as many one
+   of all three, the others share a tree.
 2. *Trees.* The suffixes that start at such windows go to the tree of their prefix. There they are sorted by their labels
-   (7, 7 and 6 words a tree edge); a node at the depth of the whole window with several leaves is a repeat, and its first
-   leaf in document order is the one that stays. Each part sends a distinct window once, with its first place.
+   (7, 7 and 6 words a tree edge). The common prefix of neighbours, in words, gives the tree's internal nodes; a node at
+   the depth of the whole window is a repeat, and its first leaf in document order is the one that stays. Each part sends
+   a distinct window once, with its first place.
 3. *Cut.* Parts hear which of their windows start earlier elsewhere and cover their words; touching windows make the
    maximal repeats.
 
 Exact copies of a whole document (of ``window`` words or more) are settled by digest and never reach the trees.
-Null text has no words; a null id is the smallest; rows with one id are taken in the order of their texts, as though
-their words stood in one after the other document. Extra columns don't matter unless named in ``carry``.
+Null text has no words. Null ids come before all others, in the order of a digest of their words; rows with one id are
+taken in the order of their texts; of equal rows the first stays. Ids are integers. Other columns don't matter, whatever
+their names, unless they are in ``carry``. An empty table gives an empty one. A text is held whole in its part, with some
+numbers a word.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm import parts, tokens
 
-WINDOW, GRAM, LABELS, BINS, TREE_SUFFIXES = 20, 6, (7, 7, 6), 4096, 1 << 22
+WINDOW, GRAM, LABELS, BINS, TREE_SUFFIXES, DEEP = 20, 6, (7, 7, 6), 4096, 1 << 22, 16
 U8, U4 = np.uint64, np.uint32
 DIGEST, ANCHOR, HISTOGRAM, REPEAT = range(4)
 _SENT = "_bucket int, _part int, kind int, payload binary"
@@ -40,11 +44,20 @@ def _labels(window: int) -> tuple[int, int, int]:
     return first, first, window - 2 * first
 
 
+def _by_digest(table: pa.Table, key: str, text: str) -> pa.Table:
+    """Rows without an id, which come first, in the order of their words' digest."""
+    nulls = table[key].null_count
+    if nulls < 2:
+        return table
+    digest = np.concatenate([tokens.whole(w, 1) for _, _, w in tokens.chunks(table[text][:nulls])])
+    return table.take(pa.array(np.concatenate([np.argsort(digest >> U8(33), kind="stable"), np.arange(nulls, len(table))]))).combine_chunks()
+
+
 class Part:
     """The words of one part's documents, one after the other."""
 
     def __init__(self, table: pa.Table, key: str, text: str, window: int) -> None:
-        self.table, self.window = parts.ordered(table, key, text), window
+        self.table, self.window = _by_digest(parts.ordered(table, key, text), key, text), window
         self.ids, self.text = parts.ids_of(self.table, key), self.table[text]
         hashes, counts, digests = [], [], []
         for _, _, w in tokens.chunks(self.text):
@@ -55,6 +68,8 @@ class Part:
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
         self.digest = [np.concatenate([*(d[i] for d in digests), np.empty(0, U8)]) for i in (0, 1)]
         self.owner = np.repeat(np.arange(len(self.counts)), self.counts)
+        # rows without an id lie in many parts: there they go by their digest, before all ids
+        self.ids = np.where(self.ids == parts.NO_ID, parts.NO_ID + (self.digest[0] >> U8(33)).astype(np.int64), self.ids)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Starts of windows inside a document, and the place of each one's anchor."""
@@ -168,7 +183,7 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values
 
 
-def _suffixes(key: str, text: str, window: int, base: np.ndarray, span: np.ndarray) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _suffixes(key: str, text: str, window: int, base: np.ndarray, span: np.ndarray, labels: np.ndarray) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def suffixes(docs: pa.Table, told: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _sent([])
@@ -177,7 +192,8 @@ def _suffixes(key: str, text: str, window: int, base: np.ndarray, span: np.ndarr
         l1, l2, l3 = (x[h.once] for x in h.labels)
         doc, pos = p.owner[h.starts[h.once]], h.starts[h.once]
         bin_ = (l1 >> U8(52)).astype(np.int64)
-        tree = base[bin_] + (tokens.mix(l1 + l2) % span[bin_].astype(U8)).astype(np.int64)
+        prefix = np.where(labels[bin_] > 2, tokens.mix(l1 + l2) + l3, l1 + l2)
+        tree = base[bin_] + (tokens.mix(prefix) % span[bin_].astype(U8)).astype(np.int64)
         for t, x in parts.by_bucket(tree):
             held, n = np.unique(doc[x], return_counts=True)
             rows.append((t, me, REPEAT, parts.pack(l1[x], l2[x], l3[x], (pos[x] - p.first[doc[x]]).astype(U4), p.ids[held], n.astype(U4))))
@@ -186,18 +202,30 @@ def _suffixes(key: str, text: str, window: int, base: np.ndarray, span: np.ndarr
     return suffixes
 
 
-def _subtree(table: pa.Table) -> pa.Table:
-    """One prefix's suffix tree: sorted leaves, and the nodes as deep as the window; all leaves but a node's first repeat."""
+def common_prefixes(labels: tuple[np.ndarray, ...], words: tuple[int, ...]) -> np.ndarray:
+    """Words that each leaf but the first shares with the one before it: the depth of the node where both part."""
+    same, depth = np.ones(max(0, len(labels[0]) - 1), bool), np.zeros(max(0, len(labels[0]) - 1), np.int64)
+    for label, n in zip(labels, words, strict=True):
+        same &= label[1:] == label[:-1]
+        depth += n * same
+    return depth
+
+
+def _subtree(window: int) -> Callable[[pa.Table], pa.Table]:
+    """One group of prefixes: the tree's sorted leaves, and the nodes as deep as the window; all leaves but a node's first
+    repeat."""
+    return lambda table: _tree(table, window)
+
+
+def _tree(table: pa.Table, window: int) -> pa.Table:
     part, blobs = table["_part"].to_numpy(), [b.as_py() for b in table["payload"]]
     each = [parts.unpack(b, U8, U8, U4, U4, np.int64, U4) for b in blobs]
     l1, l2, l3, pos = (np.concatenate([e[i] for e in each]) for i in range(4))
     ids = np.concatenate([np.repeat(e[4], e[5]) for e in each])
     who = np.repeat(np.arange(len(each)), [len(e[0]) for e in each])
     leaves = np.lexsort((pos, ids, l3, l2, l1))
-    deep = np.ones(max(0, len(leaves) - 1), bool)
-    for label in (l1, l2, l3):
-        deep &= label[leaves][1:] == label[leaves][:-1]
-    later = leaves[1:][deep]
+    depth = common_prefixes((l1[leaves], l2[leaves], l3[leaves]), _labels(window))
+    later = leaves[1:][depth >= window]
     names = _name(l1[later], l2[later], l3[later])
     return _sent([(0, int(part[w]), REPEAT, parts.pack(names[x])) for w, x in parts.by_bucket(who[later])])
 
@@ -261,8 +289,10 @@ def _without(w: tokens.Words, keep: np.ndarray) -> list[str]:
     return [raw[a:b].decode() for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
 
 
-def plan_trees(histogram: np.ndarray, tree_suffixes: int = TREE_SUFFIXES) -> tuple[np.ndarray, np.ndarray]:
-    """For each bin of prefixes its first tree and the number of trees it is dealt to by a longer prefix."""
+def plan_trees(histogram: np.ndarray, tree_suffixes: int = TREE_SUFFIXES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each bin of prefixes its first tree, the number of trees it is dealt to by a longer prefix, and that prefix's
+    labels."""
+    labels = 1 + (histogram > tree_suffixes) + (histogram > DEEP * tree_suffixes)
     base, span, tree, held = np.zeros(len(histogram), np.int64), np.ones(len(histogram), np.int64), 0, 0
     for i, n in enumerate(histogram.tolist()):
         if n > tree_suffixes:
@@ -273,7 +303,7 @@ def plan_trees(histogram: np.ndarray, tree_suffixes: int = TREE_SUFFIXES) -> tup
             if held and held + n > tree_suffixes:
                 tree, held = tree + 1, 0
             base[i], held = tree, held + n
-    return base, span
+    return base, span, labels
 
 
 def substring_dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
@@ -286,10 +316,10 @@ def substring_dedup(documents: DataFrame, key: str = "doc_id", text: str = "text
     buckets = max(1, n // 4)
     survey = parts.cut_lineage(lean.groupBy("_part").applyInArrow(parts.freed(_survey(key, text, window, buckets)), _SENT))
     histogram = _histogram(survey)
-    base, span = plan_trees(histogram)
+    base, span, labels = plan_trees(histogram)
     told = parts.cut_lineage(survey.where(F.col("kind") != HISTOGRAM).groupBy("_bucket").applyInArrow(parts.freed(_resolve), _SENT))
-    suffixes = lean.groupBy("_part").cogroup(told.groupBy("_part")).applyInArrow(parts.freed(_suffixes(key, text, window, base, span)), _SENT)
-    repeats = suffixes.groupBy("_bucket").applyInArrow(parts.freed(_subtree), _SENT)
+    suffixes = lean.groupBy("_part").cogroup(told.groupBy("_part")).applyInArrow(parts.freed(_suffixes(key, text, window, base, span, labels)), _SENT)
+    repeats = suffixes.groupBy("_bucket").applyInArrow(parts.freed(_subtree(window)), _SENT)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (key, *carry)), "n_words long, n_removed long, kept_sha256 string, removed_spans array<int>", *(["kept_text string"] if with_text else [])])
     return docs.groupBy("_part").cogroup(told.unionByName(repeats).groupBy("_part")).applyInArrow(parts.freed(_cut(key, text, window, carry, with_text)), schema)

@@ -3,16 +3,19 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from orrery.llm.substring_dedup import plan_trees, substring_dedup
+from orrery.llm import tokens
+from orrery.llm.substring_dedup import common_prefixes, plan_trees, substring_dedup
 
 SCHEMA = "doc_id long, text string, lang string, kind string"
 
 
 def brute(rows, window):
-    """Straight from the rule: rows by (id, text)."""
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    """Straight from the rule: rows by (id, text), those without an id before all others by a digest of their words."""
+    digest = lambda t: int(tokens.whole(tokens.split(*tokens.buffers(pa.array([t], pa.string()))), 1)[0] >> np.uint64(33))
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, digest(r[1]) if r[0] is None else 0, r[1] is not None, r[1] or ""))
     words = [re.findall(r"[^\x20\x09-\x0D]+", r[1] or "") for r in rows]
     seen, out = set(), []
     for r, w in zip(rows, words):
@@ -64,7 +67,31 @@ def test_empty_table(spark):
     assert substring_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 40, 1000])
+def test_prefixes_of_every_length(spark, monkeypatch, most):
+    from orrery.llm import parts, substring_dedup as S
+
+    monkeypatch.setattr(parts.in_parts, "__defaults__", (4000,))
+    monkeypatch.setattr(S.plan_trees, "__defaults__", (most,))
+    rows = corpus(5)
+    got = substring_dedup(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows, 20)
+
+
+def test_common_prefixes():
+    labels = tuple(np.array(x, np.uint64) for x in ([1, 1, 1, 1, 2], [5, 5, 5, 6, 6], [7, 7, 8, 8, 8]))
+    assert common_prefixes(labels, (7, 7, 6)).tolist() == [20, 14, 7, 0]
+
+
+def test_very_long_text(spark):
+    rng = random.Random(3)
+    long = [f"w{rng.randrange(400)}" for _ in range(150_000)]
+    rows = [(1, " ".join(long), "en", "x"), (2, " ".join(long[5000:5100] + ["end"]), "en", "x")]
+    got = substring_dedup(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows, 20)
+
+
 def test_tree_plan_splits_heavy_prefixes():
-    base, span = plan_trees(np.array([5, 5, 100, 5, 0, 7]), 20)
-    assert span.tolist() == [1, 1, 5, 1, 1, 1]
+    base, span, labels = plan_trees(np.array([5, 5, 100, 5, 0, 7, 1000]), 20)
+    assert span.tolist() == [1, 1, 5, 1, 1, 1, 50] and labels.tolist() == [1, 1, 2, 1, 1, 1, 3]
     assert base[0] == base[1] and base[2] > base[0] and base[3] >= base[2] + 5
