@@ -1,15 +1,17 @@
 """Language-model scoring: logistic mixing of hashed-context bit predictors, beside a smoothed unigram base.
 
 A document is its lower-cased (A-Z) words joined by one space, and an end byte. Each byte is eight binary decisions. For
-every order 1..4 a table of fixed size holds, by hash of the last bytes and the bits so far, how often a 0 and a 1
-followed in the training documents. A decision's log-odds in all orders are mixed with weights that a gate chooses (the
-bit's number, and how much the two longest contexts have been seen), and the result is refined by an adaptive map from
-(bit's number, log-odds) to the observed rate.
-
-Counts come from all training documents: tasks count five-byte strings, slices of them are summed, turned into bit counts
-and summed again. Weights and map are learned online, in small steps over every counted string of a slice, with the
-string's own occurrence left out of the counts; the slices' weights are averaged. What reaches the driver are tables of
-fixed size.
+every order 1..4 there are counts of how often a 0 and a 1 followed the last bytes and the bits so far in the training
+documents: orders 1 (exact) and 2 (hashed) in tables of fixed size, as these contexts are few whatever the corpus, orders 3
+and 4 exact, in as many slices as the corpus needs. A decision's log-odds in all orders are mixed with weights that a gate chooses (the bit's
+number, and how much the two longest contexts have been seen), and the result is refined by an adaptive map from (bit's
+number, log-odds) to the observed rate.
+
+Parts of the corpus send their distinct five-byte strings, with training counts, to slices by the three bytes before the
+last; so a slice has all that orders 3 and 4 need to know of its strings. Weights and map are learned online, in small
+steps over every counted string of a slice, with the string's own occurrence left out of the counts; the slices' weights
+are averaged. Then each slice scores its distinct strings once and answers every part that sent them. What reaches the
+driver are tables of fixed size; what is counted grows with the corpus.
 
 Last, each word with the byte that ends it is mixed with a whole-word predictor, its share of the training words. That
 predictor's weight is the share of training words that don't occur just once, which is how often a next word is known.
@@ -18,7 +20,9 @@ documents, so scores adapt to what a document repeats.
 
 The unigram base needs the corpus count of every token: parts send their distinct words' hashes to buckets and hear the
 counts that other parts add. Null and empty texts have the end token only. Rows with one id are scored each by its text;
-whether a row trains goes by its id, a null id by the empty string.
+whether a row trains goes by its id, a null id by the empty string; equal rows get equal scores. Other columns are
+dropped, whatever their names; an empty table gives an empty one. Texts are read whole, about a MB at a time, and a longer
+one alone, in numbers of its bytes.
 """
 
 from __future__ import annotations
@@ -33,8 +37,11 @@ from pyspark.sql import functions as F
 from orrery.llm import parts, tokens
 from orrery.llm.parts import cut_lineage
 
-ORDERS, SLOT_BITS = (1, 2, 3, 4), (16, 18, 20, 20)
-SLICES, END, GATES, RATE, STEP_STRINGS, BUCKETS, MEMORY = 32, 10, 9 * 8, 0.02, 2048, 33, 9
+#: Orders in tables of fixed size, with the bits of their slots, and orders that are counted exactly.
+ORDERS, SLOT_BITS, EXACT = (1, 2), (16, 20), (3, 4)
+INPUTS = len(ORDERS) + len(EXACT) + 1
+END, GATES, RATE, STEP_STRINGS, BUCKETS, MEMORY = 10, 9 * 8, 0.02, 2048, 33, 9
+WORDS, STRINGS = range(2)
 U8 = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -69,13 +76,16 @@ def strings(w: tokens.Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slots(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Table places, strings x bits x orders, and the bits."""
+    """Places in the tables of fixed size, strings x bits x orders, and the bits."""
     symbol = (code & U8(255)).astype(np.int64)
     bits = (symbol[:, None] >> np.arange(7, -1, -1)) & 1
     node = (symbol[:, None] | 256) >> np.arange(8, 0, -1)
     out = np.empty((len(code), 8, len(ORDERS)), np.int64)
     for i, (order, width) in enumerate(zip(ORDERS, SLOT_BITS, strict=True)):
         context = (code >> U8(8)) & U8((1 << 8 * order) - 1)
+        if 8 * order + 8 <= width:  # a slot for each
+            out[:, :, i] = _OFFSETS[i] + (context.astype(np.int64)[:, None] << 8 | node)
+            continue
         name = tokens.mix(context * U8(0x9E3779B97F4A7C15) + U8(order))
         out[:, :, i] = _OFFSETS[i] + (tokens.mix(name[:, None] + node.astype(U8) * U8(0xD6E8FEB86659FD93)) >> U8(64 - width)).astype(np.int64)
     return out, bits
@@ -102,10 +112,33 @@ def refine(refined: np.ndarray, z: np.ndarray) -> np.ndarray:
     return 0.5 * squash(z) + 0.5 * (refined[bit, low] * (1 - part) + refined[bit, low + 1] * part)
 
 
-def log10_strings(code: np.ndarray, counts: np.ndarray, weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each string's last byte after the others."""
+def exact_counts(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Zeros and ones, strings x bits x orders, after the contexts of the exact orders and the bits so far. code: all strings
+    of a slice in rising order, each once, with its count."""
+    zeros, ones = (np.empty((len(code), 8, len(EXACT)), np.float32) for _ in range(2))
+    for i, order in enumerate(EXACT):
+        own = code & U8((1 << 8 * (order + 1)) - 1)
+        by = np.argsort(own, kind="stable")
+        own, count = own[by], n[by].astype(float)
+        for b in range(8):
+            node, bit = own >> U8(8 - b), (own >> U8(7 - b)) & U8(1)
+            first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+            size = np.diff(np.append(first, len(own)))
+            zeros[by, b, i] = np.repeat(np.add.reduceat(count * (bit == 0), first), size)
+            ones[by, b, i] = np.repeat(np.add.reduceat(count * (bit == 1), first), size)
+    return zeros, ones
+
+
+def all_counts(code: np.ndarray, table: np.ndarray, exact: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Zeros and ones of all orders, and the bits."""
     place, bits = slots(code)
-    x, gate = inputs(counts[0][place], counts[1][place])
+    return np.concatenate([table[0][place], exact[0]], axis=2), np.concatenate([table[1][place], exact[1]], axis=2), bits
+
+
+def log10_strings(code: np.ndarray, table: np.ndarray, exact: tuple[np.ndarray, np.ndarray], weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each string's last byte after the others."""
+    zeros, ones, bits = all_counts(code, table, exact)
+    x, gate = inputs(zeros, ones)
     p = np.clip(refine(refined, (x * weights[gate]).sum(axis=2)), 1e-6, 1 - 1e-6)
     return np.log10(np.where(bits == 1, p, 1 - p)).sum(axis=1)
 
@@ -170,45 +203,44 @@ class _Sums:
         return keys[at], np.add.reduceat(counts, at) if len(at) else counts[:0]
 
 
-def count_strings(training: DataFrame, text: str) -> DataFrame:
-    """slice, payload: five-byte strings with their counts over all training documents."""
+def slice_of(code: np.ndarray, slices: int) -> np.ndarray:
+    """The slice of each string, by the three bytes before its last."""
+    return (tokens.mix((code >> U8(8)) & U8(0xFFFFFF)) % U8(slices)).astype(np.int64)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums()
-        for batch in batches:
-            for _, _, w in lowered(batch[text]):
-                sums.add(*np.unique(strings(w)[0], return_counts=True))
-        keys, counts = sums.all()
-        rows = [(b, parts.pack(keys[x], counts[x])) for b, x in parts.by_bucket((tokens.mix(keys) % U8(SLICES)).astype(np.int64))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["slice", "payload"])
+
+def _summed(payloads: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """A slice's strings, in rising order, with the sums of their counts."""
+    sums = _Sums()
+    for b in payloads:
+        sums.add(*parts.unpack(b.as_py(), U8, np.uint32))
+    return sums.all()
+
+
+def count_slices(asked: DataFrame) -> DataFrame:
+    """_bucket, payload: the strings of each slice with their training counts."""
 
     def add(table: pa.Table) -> pa.Table:
-        sums = _Sums()
-        for b in table["payload"]:
-            sums.add(*parts.unpack(b.as_py(), U8, np.int64))
-        return pa.table({"slice": table["slice"][:1], "payload": pa.array([parts.pack(*sums.all())], pa.binary())})
+        return pa.table({"_bucket": table["_bucket"][:1], "payload": pa.array([parts.pack(*_summed(table["payload"]))], pa.binary())})
 
-    return training.select(text).mapInArrow(count, "slice int, payload binary").groupBy("slice").applyInArrow(add, "slice int, payload binary")
+    return asked.groupBy("_bucket").applyInArrow(parts.freed(add), "_bucket int, payload binary")
 
 
 def bit_counts(counted: DataFrame, pieces: int = 16) -> np.ndarray:
-    """2 x all slots: zeros and ones, gathered in ``pieces`` runs of the tables."""
+    """2 x the slots of the tables of fixed size: zeros and ones, gathered in ``pieces`` runs."""
     size = int(_OFFSETS[-1])
     limits = np.linspace(0, size, pieces + 1).astype(np.int64)
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, size))
+        total = np.zeros(2 * size)
         for batch in batches:
             for b in batch["payload"]:
                 code, n = parts.unpack(b.as_py(), U8, np.int64)
                 for a in range(0, len(code), 100_000):
                     place, bits = slots(code[a : a + 100_000])
-                    each = np.broadcast_to(n[a : a + 100_000, None, None], place.shape)
-                    flat = place + size * bits[:, :, None]
-                    total += np.bincount(flat.ravel(), each.ravel(), 2 * size).reshape(2, size)
+                    np.add.at(total, (place + size * bits[:, :, None]).ravel(), np.broadcast_to(n[a : a + 100_000, None, None], place.shape).ravel().astype(float))
         rows = []
         for i in range(pieces):
-            part = total[:, limits[i] : limits[i + 1]]
+            part = total.reshape(2, size)[:, limits[i] : limits[i + 1]]
             at = np.flatnonzero(part.any(axis=0))
             rows.append(parts.pack(at.astype(np.uint32), part[0, at], part[1, at]))
         yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array(rows, pa.binary())], names=["piece", "payload"])
@@ -229,43 +261,55 @@ def bit_counts(counted: DataFrame, pieces: int = 16) -> np.ndarray:
     return out
 
 
-def _left_out(code: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    place, bits = slots(code)
+def _left_out(code: np.ndarray, table: np.ndarray, exact: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    zeros, ones, bits = all_counts(code, table, exact)
     one = bits[:, :, None]
-    return (*inputs(np.maximum(counts[0][place] - (1 - one), 0), np.maximum(counts[1][place] - one, 0)), bits)
+    return (*inputs(np.maximum(zeros - (1 - one), 0), np.maximum(ones - one, 0)), bits)
 
 
-def learn_mixer(counted: DataFrame, counts) -> tuple[np.ndarray, np.ndarray]:
-    """Gated weights and the refining map; counts is a broadcast of the bit counts."""
+def learn_mixer(counted: DataFrame, tables) -> tuple[np.ndarray, np.ndarray]:
+    """Gated weights and the refining map; tables is a broadcast of the bit counts."""
+
+    def trained(payload: pa.Scalar) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        code, n = parts.unpack(payload.as_py(), U8, np.int64)
+        code, n = code[n > 0], n[n > 0]
+        return code, n, exact_counts(code, n) if len(code) else (np.empty((0, 8, len(EXACT))),) * 2
 
     def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counts.value
+        table = tables.value
         for batch in batches:
             for b in batch["payload"]:
-                code, n = parts.unpack(b.as_py(), U8, np.int64)
+                code, n, exact = trained(b)
                 order = np.argsort(tokens.mix(code + U8(99)))
-                weights, squares = np.full((GATES, len(ORDERS) + 1), 0.3), np.full((GATES, len(ORDERS) + 1), 1e-4)
+                weights, squares = np.full((GATES, INPUTS), 0.3), np.full((GATES, INPUTS), 1e-4)
                 for a in range(0, len(code), STEP_STRINGS):
                     mine = order[a : a + STEP_STRINGS]
-                    x, gate, bits = _left_out(code[mine], table)
+                    x, gate, bits = _left_out(code[mine], table, (exact[0][mine], exact[1][mine]))
                     error = (bits - squash((x * weights[gate]).sum(axis=2))) * np.sqrt(n[mine])[:, None]
-                    slope = np.stack([np.bincount(gate.ravel(), (error * x[:, :, k]).ravel(), GATES) for k in range(x.shape[2])], axis=1)
+                    slope = np.stack([np.bincount(gate.ravel(), (error * x[:, :, k]).ravel(), GATES) for k in range(INPUTS)], axis=1)
                     squares += slope**2
                     weights += 10 * RATE * slope / np.sqrt(squares)
                 yield pa.RecordBatch.from_pydict({"n": pa.array([int(n.sum())]), "payload": pa.array([weights.tobytes()], pa.binary())})
 
-    rows = counted.mapInArrow(online, "n long, payload binary").collect()
-    total = sum(r["n"] for r in rows)
-    flat = np.full((GATES, len(ORDERS) + 1), 1 / len(ORDERS))
-    weights = sum(np.frombuffer(r["payload"]).reshape(flat.shape) * (r["n"] / total) for r in sorted(rows, key=lambda r: bytes(r["payload"]))) if total else flat
+    # each slice's weights count by its strings; the sums of many slices are made where they lie
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, of = np.zeros((GATES, INPUTS)), 0
+        for batch in online(batches):
+            for n, b in zip(batch["n"].to_pylist(), batch["payload"], strict=True):
+                total, of = total + n * np.frombuffer(b.as_buffer()).reshape(GATES, INPUTS), of + n
+        yield pa.RecordBatch.from_pydict({"n": pa.array([of]), "payload": pa.array([total.tobytes()], pa.binary())})
+
+    found = sorted((r["n"], bytes(r["payload"])) for r in counted.mapInArrow(summed, "n long, payload binary").toLocalIterator() if r["n"])
+    of = sum(n for n, _ in found)
+    weights = sum(np.frombuffer(b).reshape(GATES, INPUTS) for _, b in found) / of if of else np.full((GATES, INPUTS), 1 / (INPUTS - 1))
 
     def rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, sums = counts.value, np.zeros((2, 8, BUCKETS))
+        table, sums = tables.value, np.zeros((2, 8, BUCKETS))
         for batch in batches:
             for b in batch["payload"]:
-                code, n = parts.unpack(b.as_py(), U8, np.int64)
+                code, n, exact = trained(b)
                 for a in range(0, len(code), 50_000):
-                    x, gate, bits = _left_out(code[a : a + 50_000], table)
+                    x, gate, bits = _left_out(code[a : a + 50_000], table, (exact[0][a : a + 50_000], exact[1][a : a + 50_000]))
                     z = (x * weights[gate]).sum(axis=2)
                     at = np.arange(8) * BUCKETS + np.rint((np.clip(z, -8, 8) + 8) * (BUCKETS - 1) / 16).astype(np.int64)
                     each = np.broadcast_to(n[a : a + 50_000, None], z.shape)
@@ -280,10 +324,46 @@ def learn_mixer(counted: DataFrame, counts) -> tuple[np.ndarray, np.ndarray]:
     return weights, (sums[1] + 32 * middle) / (sums[0] + 32)
 
 
-def _ask(text: str, buckets: int) -> Callable[[pa.Table], pa.Table]:
+def worth(code: np.ndarray, n: np.ndarray, table: np.ndarray, weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
+    """log10 of the probability of the last byte of all strings of a slice."""
+    exact = exact_counts(code, n) if len(code) else (np.empty((0, 8, len(EXACT))),) * 2
+    steps = range(0, len(code), 20_000)
+    return np.concatenate([*(log10_strings(code[a : a + 20_000], table, (exact[0][a : a + 20_000], exact[1][a : a + 20_000]), weights, refined) for a in steps), np.empty(0)])
+
+
+def _value(tables, weights: np.ndarray, refined: np.ndarray) -> Callable[[pa.Table], pa.Table]:
+    """A slice's answers: to each part the worth of the strings that it sent, in the order in which it sent them."""
+
+    def value(table: pa.Table) -> pa.Table:
+        code, n = _summed(table["payload"])
+        found = worth(code, n, tables.value, weights, refined).astype(np.float32)
+        rows = []
+        for p, b in zip(table["_part"].to_pylist(), table["payload"], strict=True):
+            sent, _ = parts.unpack(b.as_py(), U8, np.uint32)
+            rows.append((table["_bucket"][0].as_py(), p, parts.pack(found[np.searchsorted(code, sent)])))
+        return _sent(rows, STRINGS)
+
+    return value
+
+
+def _distinct(chunks: list[tuple[int, int, tokens.Words]], trains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A part's strings, in rising order, with their training counts."""
+    sums = _Sums()
+    for lo, _, w in chunks:
+        code, doc = strings(w)
+        mine = trains[lo + doc]
+        held, other = np.unique(code[mine], return_counts=True), np.unique(code[~mine])
+        sums.add(held[0], held[1].astype(np.int64))
+        sums.add(other, np.zeros(len(other), np.int64))
+    return sums.all()
+
+
+def _ask(text: str, buckets: int, slices: int) -> Callable[[pa.Table], pa.Table]:
     def ask(table: pa.Table) -> pa.Table:
-        trains, sums, ends, memory = table["_trains"].to_numpy(zero_copy_only=False), _Sums(), 0, np.zeros((2, MEMORY), np.int64)
-        for lo, hi, w in lowered(table[text]):
+        me, table = table["_part"][0].as_py(), parts.unpacked(table)
+        trains, sums, ends, memory = table["_trains"].to_numpy(), _Sums(), 0, np.zeros((2, MEMORY), np.int64)
+        chunks = list(lowered(table[text]))
+        for lo, hi, w in chunks:
             mine = np.repeat(trains[lo:hi], w.counts).astype(np.int64)
             gate, hit = recalled(w)
             memory += np.stack([np.bincount(gate[mine > 0], hit[mine > 0], MEMORY), np.bincount(gate[mine > 0], minlength=MEMORY)]).astype(np.int64)
@@ -291,19 +371,20 @@ def _ask(text: str, buckets: int) -> Callable[[pa.Table], pa.Table]:
             sums.add(names, np.bincount(which, mine, len(names)).astype(np.int64))
             ends += int(trains[lo:hi].sum())
         names, counts = sums.all()
-        me = table["_part"][0].as_py()
         rows = [(b, me, parts.pack(names[x], counts[x].astype(np.uint32), np.zeros(0, np.int64))) for b, x in parts.by_bucket((names % U8(buckets)).astype(np.int64))]
         rows.append((0, me, parts.pack(np.empty(0, U8), np.empty(0, np.uint32), np.array([ends, *memory.ravel()]))))
-        return _sent(rows)
+        code, n = _distinct(chunks, trains)
+        asked = [(b, me, parts.pack(code[x], n[x].astype(np.uint32))) for b, x in parts.by_bucket(slice_of(code, slices))]
+        return pa.concat_tables([_sent(rows, WORDS), _sent(asked, STRINGS)])
 
     return ask
 
 
-def _sent(rows: list[tuple[int, int, bytes]]) -> pa.Table:
-    return pa.table({"_bucket": pa.array([r[0] for r in rows], pa.int32()), "_part": pa.array([r[1] for r in rows], pa.int32()), "payload": pa.array([r[2] for r in rows], pa.binary())})
+def _sent(rows: list[tuple[int, int, bytes]], kind: int) -> pa.Table:
+    return pa.table({"_kind": pa.array([kind] * len(rows), pa.int32()), "_bucket": pa.array([r[0] for r in rows], pa.int32()), "_part": pa.array([r[1] for r in rows], pa.int32()), "payload": pa.array([r[2] for r in rows], pa.binary())})
 
 
-_SENT = "_bucket int, _part int, payload binary"
+_SENT = "_kind int, _bucket int, _part int, payload binary"
 
 
 def _answer(table: pa.Table) -> pa.Table:
@@ -320,17 +401,20 @@ def _answer(table: pa.Table) -> pa.Table:
     more = np.flatnonzero(total[which] > counts)
     out = [(0, int(part[w]), parts.pack(names[more[x]], total[which[more[x]]])) for w, x in parts.by_bucket(who[more])]
     out.append((0, -1, parts.pack(np.empty(0, U8), np.array([total.sum() + ends, (total > 0).sum(), ends, (total == 1).sum(), *rest[1:]], np.int64))))
-    return _sent(out)
+    return _sent(out, WORDS)
 
 
 def lm_scores(documents: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The operator. key, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10), bits_per_byte."""
     docs, n = parts.in_parts(documents.select(key, text, (~F.coalesce(held_out, F.lit(False))).alias("_trains")), key, text)
-    counted = cut_lineage(count_strings(docs.where("_trains"), text))
-    # the tables have a fixed size, whatever the corpus
-    counts = documents.sparkSession.sparkContext.broadcast(bit_counts(counted))
-    weights, refined = learn_mixer(counted, counts)
-    told = cut_lineage(docs.select(text, "_trains", "_part").groupBy("_part").applyInArrow(_ask(text, max(1, n // 4)), _SENT).groupBy("_bucket").applyInArrow(_answer, _SENT))
+    kind = docs.schema[key].dataType.simpleString()
+    docs, many = parts.packed(docs), max(1, n // 4)
+    asked = cut_lineage(docs.groupBy("_part").applyInArrow(parts.freed(_ask(text, many, many)), _SENT))
+    counted = cut_lineage(count_slices(asked.where(F.col("_kind") == STRINGS)))
+    tables = documents.sparkSession.sparkContext.broadcast(bit_counts(counted))  # of fixed size, whatever the corpus
+    weights, refined = learn_mixer(counted, tables)
+    told = asked.where(F.col("_kind") == WORDS).groupBy("_bucket").applyInArrow(parts.freed(_answer), _SENT)
+    told = cut_lineage(told.unionByName(asked.where(F.col("_kind") == STRINGS).groupBy("_bucket").applyInArrow(parts.freed(_value(tables, weights, refined)), _SENT)))
     totals = np.zeros(4 + 2 * MEMORY, np.int64)
     for r in told.where("_part = -1").select("payload").toLocalIterator():
         totals += parts.unpack(r["payload"], U8, np.int64)[1]
@@ -340,14 +424,20 @@ def lm_scores(documents: DataFrame, held_out: Column, key: str = "doc_id", text:
     known_share = min(1 - int(totals[3]) / words, 0.999) if words else 0.0
     end_rate = min(ends / words, 0.5) if words else 0.5
     scale = np.log10(train + 0.1 * (totals[1] + (ends > 0) + 1))
-    kind = docs.schema[key].dataType.simpleString()
 
     def score(table: pa.Table, heard: pa.Table) -> pa.Table:
-        known, total = (x for x in parts.gather((b.as_py() for b in heard["payload"]), U8, np.int64)[0])
+        table, of = parts.unpacked(table), heard["_kind"].to_numpy()
+        words_heard, strings_heard = (heard.filter(pa.array(of == k)) for k in (WORDS, STRINGS))
+        known, total = (x for x in parts.gather((b.as_py() for b in words_heard["payload"]), U8, np.int64)[0])
         order = np.argsort(known)
         known, total = known[order], total[order]
-        trains, sums = table["_trains"].to_numpy(zero_copy_only=False), _Sums()
+        trains, sums = table["_trains"].to_numpy(), _Sums()
         chunks = list(lowered(table[text]))
+        named, _ = _distinct(chunks, trains)
+        each = np.empty(len(named))
+        answers = dict(zip(strings_heard["_bucket"].to_pylist(), strings_heard["payload"], strict=True))
+        for b, x in parts.by_bucket(slice_of(named, many)):
+            each[x] = parts.unpack(answers[b].as_py(), np.float32)[0]
         for lo, hi, w in chunks:
             names, which = np.unique(w.hashes, return_inverse=True)
             sums.add(names, np.bincount(which, np.repeat(trains[lo:hi], w.counts).astype(np.int64), len(names)).astype(np.int64))
@@ -361,9 +451,7 @@ def lm_scores(documents: DataFrame, held_out: Column, key: str = "doc_id", text:
             c = own_counts[np.searchsorted(own, w.hashes)] if len(w.hashes) else np.empty(0, np.int64)
             base = np.bincount(owner, np.log10(c + 0.1) - scale, size) + np.log10(ends + 0.1) - scale
             code, doc = strings(w)
-            names, which = np.unique(code, return_inverse=True)
-            worth = np.concatenate([log10_strings(names[a : a + 20_000], counts.value, weights, refined) for a in range(0, len(names), 20_000)])
-            units, unit_doc, has_word = per_word(code, doc, worth[which])
+            units, unit_doc, has_word = per_word(code, doc, each[np.searchsorted(named, code)])
             last = np.append(owner[1:] != owner[:-1], True)[: len(owner)]
             whole = np.zeros(len(units))
             whole[has_word] = c / max(words, 1) * np.where(last, end_rate, 1 - end_rate)
@@ -382,4 +470,4 @@ def lm_scores(documents: DataFrame, held_out: Column, key: str = "doc_id", text:
         )
 
     schema = f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return docs.groupBy("_part").cogroup(told.where("_part >= 0").groupBy("_part")).applyInArrow(score, schema)
+    return docs.groupBy("_part").cogroup(told.where("_part >= 0").groupBy("_part")).applyInArrow(parts.freed(score), schema)

@@ -30,6 +30,30 @@ def in_parts(documents: DataFrame, key: str, text: str, part_bytes: int = PART_B
     return documents.withColumn("_part", F.pmod(F.when(F.col(key).isNull(), F.xxhash64(text)).otherwise(F.xxhash64(key)), F.lit(n)).cast("int")), n
 
 
+def packed(documents: DataFrame) -> DataFrame:
+    """_part and ``rows`` binary: the rows that a batch has for one part as one compressed Arrow stream, which is what is
+    shuffled in place of single rows."""
+
+    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        how = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            part, out = batch["_part"].to_numpy(), []
+            for p, places in by_bucket(part):
+                sink = pa.BufferOutputStream()
+                some = batch.drop_columns(["_part"]).take(pa.array(places))
+                with pa.ipc.new_stream(sink, some.schema, options=how) as stream:
+                    stream.write_batch(some)
+                out.append((p, sink.getvalue()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1].to_pybytes() for x in out], pa.binary())], names=["_part", "rows"])
+
+    return documents.mapInArrow(streams, "_part int, rows binary")
+
+
+def unpacked(table: pa.Table) -> pa.Table:
+    """The rows of a part."""
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table["rows"]])
+
+
 def ordered(table: pa.Table, key: str, text: str) -> pa.Table:
     """Rows by id (null first), then text."""
     return table.take(pc.sort_indices(table, [(key, "ascending"), (text, "ascending")], null_placement="at_start")).combine_chunks()
