@@ -358,6 +358,26 @@ def _distinct(chunks: list[tuple[int, int, tokens.Words]], trains: np.ndarray) -
     return sums.all()
 
 
+class Places:
+    """Where each of some sorted distinct strings stands, by a table of hashes; strings that share a slot are searched for."""
+
+    def __init__(self, code: np.ndarray) -> None:
+        self.code, self.shift = code, U8(64 - max(10, (8 * len(code)).bit_length()))
+        self.table = np.zeros(1 << int(64 - self.shift), np.int32)
+        self.table[self.slot(code)] = np.arange(len(code), dtype=np.int32)
+
+    def slot(self, code: np.ndarray) -> np.ndarray:
+        return ((code * U8(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def of(self, code: np.ndarray) -> np.ndarray:
+        if not len(code):
+            return np.empty(0, np.int64)
+        at = self.table[self.slot(code)]
+        other = np.flatnonzero(self.code[at] != code)
+        at[other] = np.searchsorted(self.code, code[other])
+        return at
+
+
 def _ask(text: str, buckets: int, slices: int) -> Callable[[pa.Table], pa.Table]:
     def ask(table: pa.Table) -> pa.Table:
         me, table = table["_part"][0].as_py(), parts.unpacked(table)
@@ -436,6 +456,7 @@ def lm_scores(documents: DataFrame, held_out: Column, key: str = "doc_id", text:
         named, _ = _distinct(chunks, trains)
         each = np.empty(len(named))
         answers = dict(zip(strings_heard["_bucket"].to_pylist(), strings_heard["payload"], strict=True))
+        places = Places(named)
         for b, x in parts.by_bucket(slice_of(named, many)):
             each[x] = parts.unpack(answers[b].as_py(), np.float32)[0]
         for lo, hi, w in chunks:
@@ -451,7 +472,7 @@ def lm_scores(documents: DataFrame, held_out: Column, key: str = "doc_id", text:
             c = own_counts[np.searchsorted(own, w.hashes)] if len(w.hashes) else np.empty(0, np.int64)
             base = np.bincount(owner, np.log10(c + 0.1) - scale, size) + np.log10(ends + 0.1) - scale
             code, doc = strings(w)
-            units, unit_doc, has_word = per_word(code, doc, each[np.searchsorted(named, code)])
+            units, unit_doc, has_word = per_word(code, doc, each[places.of(code)])
             last = np.append(owner[1:] != owner[:-1], True)[: len(owner)]
             whole = np.zeros(len(units))
             whole[has_word] = c / max(words, 1) * np.where(last, end_rate, 1 - end_rate)

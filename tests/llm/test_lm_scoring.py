@@ -63,6 +63,12 @@ def test_probabilities_of_all_bytes_sum_to_one():
     assert (10 ** L.worth(code, rng.integers(0, 9, 256), table, weights, refined)).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_places_of_strings():
+    code = np.unique(np.random.default_rng(0).integers(0, 2**40, 5000).astype(np.uint64))
+    ask = np.random.default_rng(1).choice(code, 20_000)
+    assert (code[L.Places(code).of(ask)] == ask).all() and len(L.Places(code[:0]).of(ask[:0])) == 0
+
+
 def test_counts_and_worth_against_brute_force():
     """Counts of every order bit by bit, and the mixture's value, from plain dictionaries."""
     found = plain_strings(t for _, t, *_ in corpus()[:60])
