@@ -3,7 +3,8 @@
 An event is (conv_id, seq, kind, turn, role, text). ``message``, ``edit`` and ``regenerate`` (re)start the text of a turn
 with their own text, ``delta`` appends to it; a ``regenerate`` also drops the events that came before it for later turns.
 Null text is empty; a null kind counts as ``message``. Events of one conversation with the same seq are taken in the
-order of turn, role, text.
+order of turn, role, text; equal ones count each. Rows without a conversation are one conversation, which, like any other, is
+rebuilt and rendered whole, in one row. Other columns are dropped, whatever their names; no events give no conversations.
 
 A rendered turn is ``<turn ROLE>\\nTEXT</turn>\\n``. ``&``, ``<`` and ``>`` inside roles and texts become ``&amp;``, ``&lt;``
 and ``&gt;``, so no text can hold a control string, and every text can be read back.

@@ -8,8 +8,11 @@ a source's slots, counted through the shards, stop at its quota, and one more sh
 j of a source takes block perm(j) of pass j // blocks, perm being a pseudorandom permutation (a Feistel network, walked
 until it lands inside), so a pass repeats nothing. Blocks and slots meet in a join by source and index.
 
-Null text has no words; sources go by code point, null last; rows with one id are documents of their own. Draws depend on
-content and seed only, so reruns agree. The list of sources (one row each) is held by the driver; nothing else is.
+Null and empty texts have no words: they have a line and no place in it. Sources go by code point, null last; rows with one
+id, equal ones and those without an id too, are documents of their own, told apart by their start. Draws depend on content
+and seed only, so reruns agree. The list of sources (one row each) is held by the driver; nothing else is. Other columns
+are dropped by ``mix_sources``, whatever their names, and kept by ``render``. An empty table gives an empty mix. A text is
+read whole; a long one is cut into blocks like any other.
 """
 
 from __future__ import annotations

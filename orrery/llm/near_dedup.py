@@ -16,7 +16,8 @@ member, and documents that only share a passage are not paired.
 
 A document of one to four words has one shingle, all of it; without words (null, empty) it has none and stands alone. An
 id names one document: rows that share an id share a class. A null id takes the class of a row with the same words,
-else null, and is kept. Other columns don't matter.
+else null, and is kept. Ties go to the least id. Other columns don't matter, whatever their names; an empty table gives an
+empty one. Texts are read whole, about a MB at a time; a longer one is handled alone.
 """
 
 from __future__ import annotations

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from orrery.llm import tokens
 from orrery.llm.mixing import mix_sources, permuted, render, targets
 
 SCHEMA = "doc_id long, text string, source string, block string"
@@ -57,6 +58,42 @@ def test_taken_words(spark):
     assert Counter(map(tuple, again)) == Counter(map(tuple, pieces))
 
 
+def test_mix_against_brute_force(spark):
+    """Every slot's block from the plan, one draw at a time; every block's words from the lines."""
+    rows, slots, block, seed = corpus(), 64, 16, 20240607
+    lines, mix = mix_sources(spark.createDataFrame(rows, SCHEMA), slots=slots, block=block)
+    plan = targets(list({s: sum(len((t or "").split()) for _, t, x, _ in rows if x == s) for s in {r[2] for r in rows}}.items()))
+    blocks = [-(-r["source_size"] // block) for r in plan]
+    quota = []
+    for r, b in zip(plan, blocks):
+        passes = int(r["target"] // r["source_size"]) if r["source_size"] else 0
+        quota.append(passes * b + (min(b, round((r["target"] - passes * r["source_size"]) / block)) if r["source_size"] else 0))
+    total, upto, want = sum(quota), [0] * len(plan), set()
+    for shard in range(total // slots + 1):
+        n = np.random.Generator(np.random.PCG64([seed, shard])).multinomial(slots, np.array(quota) / total) if shard < total // slots else quota
+        for s, count in enumerate(n):
+            for j in range(upto[s], min(upto[s] + count, quota[s])):
+                of = j // blocks[s]
+                name = int(tokens.mix(np.array([seed + 1_000_003 * s + 7919 * of], np.uint64))[0])
+                want.add((shard, j - upto[s], s, of, int(permuted(np.array([j % blocks[s]]), blocks[s], name)[0])))
+            upto[s] += count
+    pieces = mix.collect()
+    assert {(r["shard"], r["slot"], r["source_no"], r["pass"], r["block"]) for r in pieces} == want
+    at = {(r["source_no"], r["start"]): r["size"] for r in lines.collect() if r["size"]}
+    for s in range(len(plan)):  # documents stand one after the other
+        ends = sorted((a, a + n) for (x, a), n in at.items() if x == s)
+        assert [a for a, _ in ends] == [0, *(b for _, b in ends[:-1])][: len(ends)]
+    got = Counter((r["source_no"], r["block"], r["start"], r["word_start"], r["words"]) for r in pieces)
+    times = Counter((s, b) for _, _, s, _, b in want)
+    cut = Counter()
+    for (s, a), n in at.items():
+        for b in range(a // block, (a + n - 1) // block + 1):
+            low, high = max(a, b * block), min(a + n, (b + 1) * block)
+            if times[s, b]:
+                cut[s, b, a, low - a, high - low] = times[s, b]
+    assert got == cut
+
+
 def test_rendered_text_has_the_taken_words(spark):
     rows = [r for r in corpus() if r[0] is not None and r[0] < 1000][:400]
     docs = spark.createDataFrame(rows, SCHEMA)
