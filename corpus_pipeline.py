@@ -1,4 +1,9 @@
-"""The training-data pipeline: five stages over ``documents``, each written as Parquet and read again by the next."""
+"""The training-data pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
+
+All stages take null in any column, empty and long texts (read whole), repeated rows and ids, and columns beside those of
+``documents``, which are dropped; an empty table goes through as one. Null and empty texts fail the quality rules. Of
+equal rows near_dedup keeps one. What the rules, the classes and the mix decide on ties is in their operators' docstrings.
+"""
 
 from __future__ import annotations
 
@@ -45,14 +50,14 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document, one row a pass."""
+    """What the mix takes of each document, one row a pass, so an id may repeat; a document that it takes nothing of goes."""
     ship(spark)
     mixed = render(docs.select(*COLUMNS), mix_sources(docs)[1])
     return mixed.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces placed in sequences of at most 1024."""
+    """Token pieces placed in sequences of at most 1024, one row a piece."""
     ship(spark)
     return best_fit_packing(docs)
 
