@@ -22,6 +22,16 @@ PART_BYTES = 8 << 20
 NO_ID = np.iinfo(np.int64).min
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """The rows as they are read, or, where fewer tasks than there are cores would have any (small tables, files of one row
+    group), dealt evenly to all cores. Only for tables of few tasks is that looked up, from their footers."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    if frame._jdf.queryExecution().toRdd().getNumPartitions() >= 4 * cores:
+        return frame
+    busy = frame.select(F.spark_partition_id().alias("p")).distinct().count()
+    return frame.repartition(cores) if 0 < busy < cores else frame
+
+
 def in_parts(documents: DataFrame, key: str, text: str, part_bytes: int = PART_BYTES) -> tuple[DataFrame, int]:
     """The documents with ``_part`` int, and the number of parts; that needs one pass for the size of the texts. Rows of one
     id share a part; those without an id are dealt by their text."""

@@ -15,10 +15,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The columns of all documents, with work for all cores."""
+    from orrery.llm.parts import spread
+
+    docs = _table(spark, sf_dir, "documents")
+    return spread(docs.select(*columns) if columns else docs)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm.quality_rules import quality_rules
 
-    judged = quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = quality_rules(_documents(spark, sf_dir, "doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -42,25 +50,25 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm.substring_dedup import substring_dedup
 
-    return substring_dedup(_table(spark, sf_dir, "documents"))
+    return substring_dedup(_documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm.packing import best_fit_packing
 
-    return best_fit_packing(_table(spark, sf_dir, "documents"))
+    return best_fit_packing(_documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm.near_dedup import near_dedup
 
-    return near_dedup(_table(spark, sf_dir, "documents"))
+    return near_dedup(_documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm.mixing import mix_sources
 
-    lines, mix = mix_sources(_table(spark, sf_dir, "documents"))
+    lines, mix = mix_sources(_documents(spark, sf_dir, "doc_id", "text", "source"))
     taken = mix.groupBy("source_no", "start").agg(F.sum("words").alias("taken"))
     lines = lines.withColumn("_at", F.when(F.col("size") > 0, F.col("start")))  # only rows with words have a place of their own
     lines = lines.join(taken.withColumnRenamed("start", "_at"), ["source_no", "_at"], "left")
@@ -70,7 +78,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm.language_id import language_id
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = _documents(spark, sf_dir, "doc_id", "text", "lang")
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
     found = language_id(docs, docs.where(fold != 1))
     return found.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
@@ -80,7 +88,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's host is its source; the language stands for the path below it."""
     from orrery.llm.quality_classifier import quality_classifier
 
-    judged = quality_classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+    judged = quality_classifier(_documents(spark, sf_dir, "doc_id", "text", "source", "lang"), _table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
     return judged.select("doc_id", "quality", "toxicity", "quality_posterior", "toxicity_posterior", "kept")
 
 
@@ -88,7 +96,7 @@ def op9_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries are the whole texts of all documents whose id is divisible by 50."""
     from orrery.llm.search import top_k
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     return top_k(docs, docs.where(F.col("doc_id") % 50 == 0)).withColumnRenamed("query", "query_id")
 
 
@@ -96,7 +104,7 @@ def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm.lm_scoring import lm_scores
 
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
-    return lm_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"), held_out)
+    return lm_scores(_documents(spark, sf_dir, "doc_id", "text"), held_out)
 
 
 QUERIES = (
