@@ -113,8 +113,7 @@ SELECT p_partkey, 'software:' || CASE WHEN s = '' THEN 'software' ELSE s END ||
 k AS (SELECT *, CASE WHEN starts_with(lower(name), 'microsoft ') AND (p_partkey * 13) % 100 / 100.0 < 0.35 THEN 'vendor_shortened' WHEN (p_partkey * 29) % 100 / 100.0 < 0.12 THEN 'case_variant' WHEN contains(lower(name), ' and ') AND (p_partkey * 31) % 100 / 100.0 < 0.12 THEN 'symbol_variant' ELSE 'canonical' END AS alias_type FROM n)
 SELECT p_partkey, CASE alias_type WHEN 'case_variant' THEN lower(name) WHEN 'symbol_variant' THEN replace(name, ' and ', ' & ') ELSE name END AS surface_name, alias_type FROM k""",
     "month_year_parse": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'unknown' ELSE strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') END AS month FROM orders",
-    "rated_pivot": """WITH l AS (SELECT * FROM lineitem WHERE l_returnflag <> 'R' OR l_quantity < 25),
-x AS (SELECT l_partkey, l_returnflag, l_quantity, row_number() OVER (PARTITION BY l_partkey, l_returnflag ORDER BY l_orderkey, l_linenumber, l_quantity) AS n FROM l)
+    "rated_pivot": """WITH x AS (SELECT l_partkey, l_returnflag, l_quantity, row_number() OVER (PARTITION BY l_partkey, l_returnflag ORDER BY l_orderkey, l_linenumber, l_quantity) AS n FROM lineitem)
 SELECT l_partkey, max(l_quantity) FILTER (l_returnflag = 'A') AS importance, max(l_quantity) FILTER (l_returnflag = 'R') AS level FROM x WHERE n = 1 AND l_returnflag IN ('A', 'R') GROUP BY ALL""",
     "first_non_null_metadata": """SELECT o_custkey, arg_min(o_orderstatus, (o_orderdate, o_orderkey)) FILTER (o_orderkey % 3 <> 0) AS status, arg_min(o_totalprice, (o_orderdate, o_orderkey)) FILTER (o_orderkey % 2 = 0) AS price FROM orders GROUP BY ALL""",
     "join_unique_categories": "SELECT p_name, string_agg(DISTINCT p_brand, ' | ' ORDER BY p_brand) AS brands, string_agg(DISTINCT p_type, ' | ' ORDER BY p_type) AS types, count(*)::BIGINT AS rows FROM part GROUP BY ALL",
@@ -153,6 +152,14 @@ SELECT stage, rows::BIGINT AS rows, uniq::BIGINT AS unique_items, round(uniq::DO
     "train_popularity": f"WITH {V}, {POP} SELECT item_id, round(popularity_score, 6) AS popularity_score FROM pop",
     "gated_evidence": f"WITH {P}, {EV} SELECT query_id, item_id, round(evidence_score, 6) AS evidence_score FROM ev",
     "minmax_static_rerank": f"WITH {RR} SELECT trial, query_id, rank::INTEGER AS rank, item_id, round(b, 6) AS rerank_score FROM rk",
+    "mmr_rerank": "WITH RECURSIVE " + RR[: RR.index("tl AS")] + """tl AS (SELECT 1 AS trial, 0.3::DOUBLE AS ew, 0.05::DOUBLE AS pp),
+""" + RR[RR.index("mm AS") : RR.index(",\nrk AS")] + """,
+pool AS (SELECT query_id, item_id, pr, b, v FROM sx JOIN c USING (item_id)),
+greedy AS (SELECT query_id, 0 AS rank, NULL::BIGINT AS item_id, NULL::BIGINT AS pr, NULL::DOUBLE AS score, []::BIGINT[] AS ids, []::DOUBLE[][] AS vs FROM q
+  UNION ALL SELECT query_id, rank, item_id, pr, score, ids, vs FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pr) AS r FROM (
+    SELECT g.query_id, g.rank + 1 AS rank, pool.item_id, pool.pr, pool.b - 0.06::DOUBLE * greatest(0, coalesce(list_max(list_transform(g.vs, lambda x: list_cosine_similarity(x, pool.v))), 0)) AS score,
+      list_append(g.ids, pool.item_id) AS ids, list_append(g.vs, pool.v) AS vs FROM greedy g JOIN pool USING (query_id) WHERE g.rank < 10 AND NOT list_contains(g.ids, pool.item_id))) WHERE r = 1)
+SELECT 1 AS trial, query_id, rank::INTEGER AS rank, pr::INTEGER AS pool_rank, item_id, round(score, 6) AS rerank_score FROM greedy WHERE rank > 0""",
     "trial_selection": f"""WITH {RR}, i AS (SELECT query_id, sum(rel / log2(r + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC) AS r FROM tr) WHERE r <= 10 GROUP BY ALL),
 g AS (SELECT trial, query_id, sum(rel / log2(rank + 1)) AS gain FROM rk JOIN tr USING (query_id, item_id) GROUP BY ALL),
 n AS (SELECT trial, avg(coalesce(gain, 0) / ideal) AS ndcg FROM tl CROSS JOIN i LEFT JOIN g USING (trial, query_id) GROUP BY ALL),

@@ -230,8 +230,7 @@ def month_year_parse(spark, sf):
 
 
 def rated_pivot(spark, sf):
-    li = t(spark, sf, "lineitem").where("l_returnflag <> 'R' OR l_quantity < 25")
-    p = R.rated_pivot(li, ["l_partkey"], "l_returnflag", "l_quantity", {"A": "importance", "R": "level"}, [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_quantity")])
+    p = R.rated_pivot(t(spark, sf, "lineitem"), ["l_partkey"], "l_returnflag", "l_quantity", {"A": "importance", "R": "level"}, [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_quantity")])
     return p
 
 

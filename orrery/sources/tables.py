@@ -8,6 +8,7 @@ import json
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,11 +51,13 @@ def inspect(frame: DataFrame, width: int = 100) -> dict[str, str | None]:
 
 def read_matrix(spark: SparkSession, path: str, index: DataFrame, row: str = "embedding_row") -> DataFrame:
     """A .npy matrix joined to the table of its rows as an array column; rows must match one to one."""
-    matrix = np.load(path, allow_pickle=False)
+    matrix = np.load(path, mmap_mode="r", allow_pickle=False)
     rows = index.agg(F.count(F.lit(1)), F.countDistinct(row), F.min(row), F.max(row)).first()
     if tuple(rows) != (len(matrix), len(matrix), 0, len(matrix) - 1):
         raise ValueError(f"{row} must number the {len(matrix)} rows of {path} once each, from 0")
-    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(matrix)], f"{row} int, embedding array<float>")
+    flat = np.ascontiguousarray(matrix, np.float32).reshape(-1)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]), pa.array(flat))
+    frame = spark.createDataFrame(pa.table({row: pa.array(np.arange(len(matrix), dtype=np.int32)), "embedding": lists}))
     return index.join(frame, row)
 
 
