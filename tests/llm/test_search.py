@@ -70,3 +70,53 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b", "", 1), (2, None, "", 1)], SCHEMA)
     assert search.top_k(docs.where("false"), docs).count() == 0
     assert search.top_k(docs, docs.where("doc_id = 2")).count() == 0
+
+
+def test_later_rounds_begin_with_floors(spark, monkeypatch):
+    monkeypatch.setattr(search, "SHARD_BYTES", 1000)
+    monkeypatch.setattr(search, "ROW_QUERIES", 16)
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(rng.choices(vocabulary[100 * (i % 2) :], [1 / (j + 1) for j in range(200 - 100 * (i % 2))], k=rng.choice([5, 30, 80]))), "x", 1) for i in range(240)]
+    plain, seen = search._search, []
+
+    def spied(index, held, top, floors=None):
+        seen.append((held.value[0], None if floors is None else floors.value))
+        return plain(index, held, top, floors)
+
+    monkeypatch.setattr(search, "_search", spied)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = search.top_k(docs, docs.where("doc_id % 10 = 0")).collect()
+    want = brute(rows, [r for r in rows if r[0] % 10 == 0])
+    assert sorted([(r["query"], r["rank"], r["doc_id"], round(r["score"], 6)) for r in got], key=repr) == want
+    last = {q: s for q, rank, _, s in want if rank == 10}
+    assert [f is None for _, f in seen] == [True, False, False]
+    for names, floors in seen[1:]:
+        assert np.isfinite(floors).mean() > 0.9
+        assert all(f <= last[q] + 1e-6 for q, f in zip(names.tolist(), floors.tolist()) if np.isfinite(f))
+    assert (seen[2][1] >= seen[1][1]).all()
+
+
+def test_only_pairs_that_reach_are_scored_and_none_is_lost_to_rounding():
+    rng = np.random.default_rng(1)
+    m, y = rng.random((5000, 20)) < 0.7, rng.random((5000, 300)) * (rng.random((5000, 300)) < 0.5)
+    left = search.Postings(np.searchsorted(np.nonzero(m)[0], np.arange(5001)), np.nonzero(m)[1])
+    t, d = np.nonzero(y)
+    right = search.Postings(np.searchsorted(t, np.arange(5001)), d, y[t, d])
+    want, every = m.T.astype(float) @ y, np.arange(5000)
+    for least in (np.sort(want, axis=1)[:, -5], np.full(20, -np.inf)):
+        q, d, score, _ = search._reach(left, right, every, every, 20, 300, least, 5)
+        best = np.sort(want, axis=1)[:, -5]
+        found = set(zip(q.tolist(), d.tolist()))
+        assert found >= set(zip(*(x.tolist() for x in np.nonzero(want >= best[:, None])))) and len(found) <= 20 * 20
+        assert np.allclose(score, want[q, d], rtol=1e-12)
+
+
+def test_alike_rows_are_told_apart():
+    rng = np.random.default_rng(2)
+    m = np.zeros((400, 90), bool)
+    m[:200, :60], m[200:, 60:] = rng.random((200, 60)) < 0.3, rng.random((200, 30)) < 0.6
+    t, r = np.nonzero(m)
+    kinds = search.alike(90, np.searchsorted(t, np.arange(401)), r)
+    assert not set(kinds[:60]) & set(kinds[60:])
+    assert (search.alike(3, np.zeros(1, np.int64), np.empty(0, np.int64)) == 0).all()
