@@ -32,6 +32,32 @@ def test_tiles_agree_with_one_product(spark):
     assert retrieval.neighbor_recall(retrieval.cosine_top_k(q, i, 5), retrieval.ann_top_k(q, i, 5, 8), 5).first()["neighbor_recall"] > 0.9
 
 
+def _vectors(spark, name, m):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], f"{name} long, v array<double>")
+
+
+def test_a_tile_is_scored_in_blocks(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(retrieval, "BLOCK_ITEMS", 64)
+    rng = np.random.default_rng(6)
+    b = retrieval._unit(rng.integers(-1, 2, (1000, 5)).astype(float))
+    b[3] = np.nan
+    a = retrieval._unit(rng.integers(-1, 2, (40, 5)).astype(float))
+    score = np.nan_to_num(np.round(np.einsum("nd,md->nm", a, b), 12), nan=-2.0)
+    for keep in (1, 9, 100, 2000):
+        row, place, _ = retrieval._top(a, b, b.astype(np.float32), keep)
+        assert (place.reshape(40, -1) == np.argsort(-score, axis=1, kind="stable")[:, :keep]).all() and (row == np.repeat(np.arange(40), min(keep, 1000))).all()
+    monkeypatch.undo()
+    b = retrieval._unit(rng.standard_normal((40_000, 8)))
+    single = b.astype(np.float32)
+    tracemalloc.start()
+    retrieval._top(b[:256], b, single, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # all scores at once are 82 MB in double precision
+
+
 def test_metrics_by_hand(spark):
     p = frame(spark, "query_id string, item_id string, rank int", ("c", "s1", 1), ("c", "s3", 2), ("c", "s2", 3))
     t = frame(spark, "query_id string, item_id string, relevance_score double", ("c", "s1", 1.0), ("c", "s2", 0.5), ("d", "s9", 0.0))
