@@ -36,6 +36,15 @@ def _vectors(spark, name, m):
     return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], f"{name} long, v array<double>")
 
 
+def test_many_pairs_are_not_scored_one_by_one(spark):
+    rng = np.random.default_rng(3)
+    q, i = _vectors(spark, "query_id", rng.standard_normal((20, 4))), _vectors(spark, "item_id", rng.integers(-1, 2, (90, 4)).astype(float))
+    few, many = retrieval.cosine_top_k_native(q, i, 7), retrieval.cosine_top_k_native(q, i, 7, most_pairs=1000)
+    pairwise = lambda f: any(x in f._jdf.queryExecution().executedPlan().toString() for x in ("NestedLoop", "Cartesian"))
+    assert pairwise(few) and not pairwise(many)
+    assert sorted(map(str, many.select("query_id", "rank", "item_id").collect())) == sorted(map(str, few.select("query_id", "rank", "item_id").collect()))
+
+
 def test_a_tile_is_scored_in_blocks(monkeypatch):
     import tracemalloc
 
