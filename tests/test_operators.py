@@ -45,6 +45,24 @@ def test_many_pairs_are_not_scored_one_by_one(spark):
     assert sorted(map(str, many.select("query_id", "rank", "item_id").collect())) == sorted(map(str, few.select("query_id", "rank", "item_id").collect()))
 
 
+def test_approximate_search_lists_no_pairs(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.standard_normal((15, 6)), rng.standard_normal((200, 6))
+    q, i = _vectors(spark, "query_id", a), _vectors(spark, "item_id", b)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    for tables, bits, probes in ((3, 3, 1), (2, 8, 0)):
+        got = retrieval.ann_top_k(q, i, 8, 6, tables=tables, bits=bits, probes=probes)
+        assert "[table" not in "".join(x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x) and "bucket" not in "".join(x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x)
+        held, asked = ({(r[k], r["table"], r["bucket"]) for r in retrieval.lsh_buckets(f, [k], "v", 6, tables, bits, p).collect()} for f, k, p in ((i, "item_id", 0), (q, "query_id", probes)))
+        shared = {(x, y) for x, t, c in asked for y, u, d in held if (t, c) == (u, d)}
+        score = np.round(unit(a) @ unit(b).T, 12)
+        want = {x: [y for y in np.argsort(-score[x], kind="stable") if (x, y) in shared][:8] for x in range(15)}
+        found = {x: [] for x in range(15)}
+        for r in got.orderBy("query_id", "rank").collect():
+            found[r["query_id"]].append(r["item_id"])
+        assert found == want
+
+
 def test_a_tile_is_scored_in_blocks(monkeypatch):
     import tracemalloc
 
