@@ -227,6 +227,14 @@ def test_audit(spark):
     assert audit.decide(1, 1, 1) == "llm_judge" and audit.decide(0.7, 1, 1) == "hybrid_candidate_generation"
 
 
+def test_near_ids_are_found_by_key(spark):
+    from orrery.plans import queries
+
+    for name in ("baseline_lift", "strategy_comparison"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert not any("Join" in x and ("item_id" in x and "query_id" in x and (" <= " in x or " < " in x)) for x in plan.split("\n")), name
+
+
 def test_relational(spark):
     left, right = frame(spark, "k int, a int", (1, 1), (2, 2)), frame(spark, "k int, b int", (1, 1), (1, 2))
     with pytest.raises(C.ContractError, match="not unique"):
