@@ -235,6 +235,14 @@ def test_near_ids_are_found_by_key(spark):
         assert not any("Join" in x and ("item_id" in x and "query_id" in x and (" <= " in x or " < " in x)) for x in plan.split("\n")), name
 
 
+def test_a_label_is_ranked_once_for_all_its_queries(spark):
+    from orrery.plans import queries
+
+    plan = queries._channels(spark, "/root/testdata/sf0.001")[2]._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Window")]
+    assert "Join" in above and "Join" not in plan[plan.index("Window") :]
+
+
 def test_relational(spark):
     left, right = frame(spark, "k int, a int", (1, 1), (2, 2)), frame(spark, "k int, b int", (1, 1), (1, 2))
     with pytest.raises(C.ContractError, match="not unique"):
