@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from orrery import contracts as C
 from orrery.config import AuditConfig, FusionConfig, HybridConfig, PairConfig, PopulationConfig, RerankConfig, RetrievalConfig
 from orrery.operators import audit, features, fusion, hybrid, metrics, pairs, population, relational as R, rerank, retrieval, taxonomy
+from orrery.operators.truth import ClassTruth, matching
 from orrery.sources import tables
 
 
@@ -243,6 +244,23 @@ def test_a_label_is_ranked_once_for_all_its_queries(spark):
     assert "Join" in above and "Join" not in plan[plan.index("Window") :]
 
 
+def test_random_negatives_draw_few(spark):
+    items = spark.range(40_000).select(F.col("id").alias("item_id"))
+    asked = frame(spark, "query_id long", *((n,) for n in range(50)))
+    most = items.where("item_id % 4 <> 0")
+    truth = ClassTruth(asked.selectExpr("query_id", "query_id % 2 AS c"), most.selectExpr("item_id", "item_id % 2 AS c"), ("c",))
+    drawn = pairs.random_negatives(asked, items, (truth, frame(spark, "query_id long, item_id long", (0, 0))), 10, "s")
+    rows = drawn.collect()
+    assert len({(r["query_id"], r["item_id"]) for r in rows}) == 500 and (0, 0) not in {(r["query_id"], r["item_id"]) for r in rows}
+    assert not any(r["item_id"] % 4 and r["item_id"] % 2 == r["query_id"] % 2 for r in rows)
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(1)" not in plan.split("InMemoryRelation")[0] or "_held" not in plan
+    few = asked.where("query_id < 5")
+    listed = truth.pairs().select("query_id", "item_id")
+    one, two = (sorted(pairs.random_negatives(few, items, t, 10, "s").collect()) for t in (truth, listed))
+    assert one == two
+
+
 def test_relational(spark):
     left, right = frame(spark, "k int, a int", (1, 1), (2, 2)), frame(spark, "k int, b int", (1, 1), (1, 2))
     with pytest.raises(C.ContractError, match="not unique"):
