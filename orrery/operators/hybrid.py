@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from orrery.operators.truth import Truth
+
 RRF, TOWER_WEIGHT, OCCUPATION_WEIGHT = 60, 0.75, 0.65
 
 
@@ -46,7 +48,7 @@ def fill_pools(fused: DataFrame, queries: DataFrame, catalog: DataFrame, pool: i
     return out.withColumn("is_learned_protected", F.col("tier") == 0).withColumn("is_fallback", F.col("tier") == 2).drop("tier")
 
 
-def stage_metrics(stages: DataFrame, truth: DataFrame, catalog_size: int, query: str = "query_id", item: str = "item_id") -> DataFrame:
+def stage_metrics(stages: DataFrame, truth: Truth, catalog_size: int, query: str = "query_id", item: str = "item_id") -> DataFrame:
     """stage, rows, unique_items, catalog_coverage, truth_item_coverage, truth_pair_recall, mean_query_recall."""
     from orrery.operators.audit import stage_recall
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.vectors import dot, l2_normalize
 from orrery.operators.retrieval import ranked
+from orrery.operators.truth import Truth, item_counts
 
 
 def min_max(value: str, key: str = "query_id") -> Column:
@@ -23,10 +24,9 @@ def min_max(value: str, key: str = "query_id") -> Column:
     return F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(F.lit(0.0))
 
 
-def train_popularity(catalog: DataFrame, train_truth: DataFrame, item: str = "item_id") -> DataFrame:
+def train_popularity(catalog: DataFrame, train_truth: Truth, item: str = "item_id") -> DataFrame:
     """item, popularity_score: log counts of train truth over the largest; 0 without any."""
-    n = train_truth.groupBy(item).agg(F.count(F.lit(1)).alias("_n"))
-    score = catalog.select(item).join(n, item, "left").withColumn("_p", F.log1p(F.coalesce("_n", F.lit(0)).cast("double")))
+    score = catalog.select(item).join(item_counts(train_truth, item), item, "left").withColumn("_p", F.log1p(F.coalesce("_n", F.lit(0)).cast("double")))
     top = score.agg(F.max("_p").alias("_top"))
     return score.crossJoin(top).select(item, F.when(F.col("_top") > 0, F.col("_p") / F.col("_top")).otherwise(0.0).alias("popularity_score"))
 

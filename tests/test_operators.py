@@ -253,14 +253,44 @@ def test_random_negatives_draw_few(spark):
     rows = drawn.collect()
     assert len({(r["query_id"], r["item_id"]) for r in rows}) == 500 and (0, 0) not in {(r["query_id"], r["item_id"]) for r in rows}
     assert not any(r["item_id"] % 4 and r["item_id"] % 2 == r["query_id"] % 2 for r in rows)
-    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
-    assert "count(1)" not in plan.split("InMemoryRelation")[0] or "_held" not in plan
     few = asked.where("query_id < 5")
     listed = truth.pairs().select("query_id", "item_id")
     one, two = (sorted(pairs.random_negatives(few, items, t, 10, "s").collect()) for t in (truth, listed))
     assert one == two
 
 
+def _classes(spark, queries, items, labels):
+    q = spark.range(queries).selectExpr("id AS query_id", f"id % {labels} AS _label", "explode(array(0L, 1L)) AS _part")
+    q = q.selectExpr("*", "(1 + (query_id + _part) % 2) / 2.0D AS relevance_score", "1.0D + _part AS proficiency", "IF(query_id % 3 = 0, 'test', 'train') AS split")
+    return ClassTruth(q, spark.range(items).selectExpr("id AS item_id", f"(id DIV 2) % {labels} AS _label", "id % 2 AS _part"))
+
+
+def test_truth_by_classes_is_the_truth_of_its_pairs(spark):
+    truth = _classes(spark, 30, 41, 3)
+    listed = truth.pairs()
+    assert listed.count() == listed.select("query_id", "item_id").distinct().count() == sum((j // 2) % 3 == i % 3 for i in range(30) for j in range(41))
+    p = spark.range(30).selectExpr("id AS query_id", "explode(sequence(1, 12)) AS rank").selectExpr("query_id", "(query_id * 7 + rank * 5) % 47 AS item_id", "rank", "1.0D / rank AS score")
+    stages = p.selectExpr("'all' AS stage", "query_id", "item_id").union(p.where("rank < 3").selectExpr("'head'", "query_id", "item_id"))
+    items, made = truth.items.select("item_id"), lambda t: t.pairs() if isinstance(t, ClassTruth) else t
+    for f in (
+        lambda t: metrics.per_query(p, t, (2, 9, 40)), lambda t: pairs.hard_negatives(p, t, 4), lambda t: pairs.pair_counts(spark.range(33).selectExpr("id AS query_id"), t, p),
+        lambda t: audit.coverage_summary(stages, t, 41), lambda t: hybrid.stage_metrics(stages, t, 41), lambda t: rerank.train_popularity(items, matching(t, "split = 'train' AND relevance_score > 0.5")),
+        lambda t: audit.coverage_by_type(stages, t, items.selectExpr("item_id", "item_id % 4 AS kind"), "kind"), lambda t: made(pairs.positives(t)).select(*listed.columns, "sample_weight"),
+    ):
+        got, want = ([[round(x, 9) if isinstance(x, float) else x for x in r] for r in f(t).collect()] for t in (truth, listed))
+        assert sorted(map(str, got)) == sorted(map(str, want)) and want
+
+
+def test_a_large_class_makes_no_pairs(spark):
+    truth = _classes(spark, 40_000, 60_000, 1)  # 2.4e9 pairs
+    p = frame(spark, "query_id long, item_id long, rank int, score double", (0, 1, 1, 0.5), (0, 70_000, 2, 0.4))
+    m = metrics.per_query(p, truth, (1,)).where("query_id = 0").first()
+    assert (m["truth_count"], m["hit_count"], m["ndcg"]) == (60_000, 1, 1.0)
+    assert [r["item_id"] for r in pairs.hard_negatives(p, truth, 5).collect()] == [70_000]
+    assert audit.stage_recall(p.selectExpr("'s' AS stage", "*"), truth).first()["truth_pair_recall"] == pytest.approx(1 / 2.4e9)
+    assert rerank.train_popularity(truth.items, truth).agg(F.min("popularity_score")).first()[0] == 1.0
+
+
 def test_relational(spark):
     left, right = frame(spark, "k int, a int", (1, 1), (2, 2)), frame(spark, "k int, b int", (1, 1), (1, 2))
     with pytest.raises(C.ContractError, match="not unique"):
