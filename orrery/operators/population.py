@@ -25,6 +25,9 @@ __all__ = ["PopulationConfig", "candidates", "true_skills", "availability", "job
 SEGMENTS = {"complete": (0.55, 0.45), "partial": (0.30, 1.0), "sparse": (0.15, 2.25)}
 STYLES = {"concise": (0.24, 3, 7), "typical": (0.66, 8, 30), "exhaustive": (0.10, 40, 100)}
 
+#: Parts of an occupation's skills while they are drawn from; how many square roots of the wished number are let through beside it.
+DEALT, SPARE = 32, 8
+
 
 def uniform(seed: int, *names: Column | str | int) -> Column:
     """A number in (0, 1)."""
@@ -87,13 +90,29 @@ def candidates(spark: SparkSession, config: PopulationConfig, occupations: DataF
 
 
 def true_skills(people: DataFrame, relations: DataFrame, config: PopulationConfig | None = None) -> DataFrame:
-    """candidate_id, skill_id, skill_name, relevance_score, proficiency: weighted draws from the occupation's skills."""
+    """candidate_id, skill_id, skill_name, relevance_score, proficiency: weighted draws from the occupation's skills.
+
+    Keys of draws are exponential with the relevance as rate, so about as many lie under a bound as the sum of relevances
+    times the bound. Only keys under one that lets enough through are sorted; candidates for whom it lets too few through
+    have all their skills sorted."""
     config = config or PopulationConfig()
     seed = config.seed
     wanted = people.withColumn("_n", F.greatest(F.lit(12), F.least(F.lit(config.max_true_skills), poisson(uniform(seed, F.col("candidate_id"), "skills"), 22 + 0.8 * F.col("years_experience")))))
     known = relations.groupBy(F.col("onet_soc_code").alias("primary_onet_soc_code"), "skill_id").agg(F.min("skill_name").alias("skill_name"), F.max("relevance_score").alias("relevance_score"))
-    drawn = wanted.join(known, "primary_onet_soc_code").withColumn("_key", -F.ln(uniform(seed, F.col("candidate_id"), F.col("skill_id"), "draw")) / F.col("relevance_score"))
-    drawn = drawn.withColumn("_r", F.row_number().over(W.partitionBy("candidate_id").orderBy("_key", "skill_id"))).where("_r <= _n")
+    known = known.withColumn("_deal", F.pmod(F.xxhash64("skill_id"), F.lit(DEALT)).cast("int"))  # an occupation is many groups
+    total = known.groupBy("primary_onet_soc_code").agg(F.sum("relevance_score").alias("_total"))
+    bound = F.when(F.col("_total") > 0, (F.col("_n") + SPARE * F.sqrt("_n")) / F.col("_total"))
+    wanted = wanted.join(total, "primary_onet_soc_code").withColumn("_bound", bound)
+
+    def ranked(people: DataFrame, keep: Column) -> DataFrame:
+        asked = people.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)))).hint("merge")  # no side is sent to all
+        rows = known.join(asked, ["primary_onet_soc_code", "_deal"])
+        rows = rows.withColumn("_key", -F.ln(uniform(seed, F.col("candidate_id"), F.col("skill_id"), "draw")) / F.col("relevance_score")).where(keep)
+        return rows.withColumn("_r", F.row_number().over(W.partitionBy("candidate_id").orderBy("_key", "skill_id"))).where("_r <= _n")
+
+    near = ranked(wanted, F.col("_key").isNull() | (F.col("_key") <= F.col("_bound"))).persist()
+    enough = near.where("_r = _n").select("candidate_id")
+    drawn = near.join(enough, "candidate_id", "left_semi").unionByName(ranked(wanted.join(enough, "candidate_id", "left_anti"), F.lit(True)))
     level = 1 + 3 * F.col("relevance_score") + F.least(F.col("years_experience") / 20.0, F.lit(1.0)) + 0.35 * normal(seed, F.col("candidate_id"), F.col("skill_id"), "level")
     return drawn.select("candidate_id", "skill_id", "skill_name", F.round("relevance_score", 4).alias("relevance_score"), F.round(S.clip(level, 1, 5), 4).alias("proficiency"))
 

@@ -413,6 +413,17 @@ def test_population(spark):
     assert p.job_history.where("end_date < start_date").isEmpty() and p.candidates.select("split").distinct().count() >= 2
 
 
+def test_skills_under_the_bound_are_those_of_all(spark, monkeypatch):
+    config = PopulationConfig(n_candidates=25, seed=7)
+    relations = spark.range(900).selectExpr("CONCAT('1', id % 3, '-1') AS onet_soc_code", "CONCAT('s', id) AS skill_id", "'x' AS skill_name", "0.03D + (id % 40) / 41 AS relevance_score").where("onet_soc_code < '12' OR skill_id < 's2'")
+    people = population.candidates(spark, config, relations)
+    near = population.true_skills(people, relations, config)
+    assert "_bound" in near._jdf.queryExecution().optimizedPlan().toString() or "_deal" in near._jdf.queryExecution().optimizedPlan().toString()
+    few = sorted(map(str, near.collect()))
+    monkeypatch.setattr(population, "SPARE", -100)  # nothing is let through, so all are sorted
+    assert few == sorted(map(str, population.true_skills(people, relations, config).collect())) and len(few) > 300
+
+
 def test_sources(spark, tmp_path):
     f = frame(spark, "id int, x double", (1, 1.5), (2, None))
     entry = tables.write_table(f, f"{tmp_path}/a.parquet")
