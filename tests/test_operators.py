@@ -424,6 +424,15 @@ def test_skills_under_the_bound_are_those_of_all(spark, monkeypatch):
     assert few == sorted(map(str, population.true_skills(people, relations, config).collect())) and len(few) > 300
 
 
+def test_relations_are_dealt_by_their_rows(spark, monkeypatch):
+    from orrery.plans import queries
+
+    monkeypatch.setattr(queries, "LINES", 1000)
+    plan = queries._relations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert sum("Repartition" in x and f", {-(-lines // 1000)}" in x for x in plan.split("\n")) == 3
+
+
 def test_sources(spark, tmp_path):
     f = frame(spark, "id int, x double", (1, 1.5), (2, None))
     entry = tables.write_table(f, f"{tmp_path}/a.parquet")
